@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bitpack, mixing, packing, warc
+from millrace.llm import bitpack, minhash, mixing, packing, warc
 from millrace.llm.common import table
 
 
@@ -27,7 +27,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bit_packed_ids, op4_source_mix, op5_warc_revisits, op7_best_fit_packing)
+    f.__name__: f for f in (op2_bit_packed_ids, op4_source_mix, op5_warc_revisits, op7_best_fit_packing, op9_circulant_minhash)
 }
 SQL: dict[str, str] = {"op4_source_mix": mixing.SQL, "op5_warc_revisits": warc.SQL}
