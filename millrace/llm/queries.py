@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bitpack, minhash, mixing, packing, warc
+from millrace.llm import bayes, bitpack, crf, minhash, mixing, packing, warc
 from millrace.llm.common import table
 
 
+def op1_crf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return crf.line_labels(docs, crf.fit_on_labels(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.packed_digest(spark, table(spark, sf_dir, "documents"))
 
@@ -31,7 +36,11 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
 
 
+def op10_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bit_packed_ids, op4_source_mix, op5_warc_revisits, op7_best_fit_packing, op9_circulant_minhash)
+    f.__name__: f for f in (op1_crf_lines, op2_bit_packed_ids, op4_source_mix, op5_warc_revisits, op7_best_fit_packing, op9_circulant_minhash, op10_empirical_bayes)
 }
 SQL: dict[str, str] = {"op4_source_mix": mixing.SQL, "op5_warc_revisits": warc.SQL}
