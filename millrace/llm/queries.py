@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bayes, bitpack, crf, minhash, mixing, packing, warc
+from millrace.llm import bayes, bitpack, crf, licenses, minhash, mixing, packing, warc
 from millrace.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
 
@@ -41,6 +45,6 @@ def op10_empirical_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_crf_lines, op2_bit_packed_ids, op4_source_mix, op5_warc_revisits, op7_best_fit_packing, op9_circulant_minhash, op10_empirical_bayes)
+    f.__name__: f for f in (op1_crf_lines, op2_bit_packed_ids, op4_source_mix, op5_warc_revisits, op7_best_fit_packing, op8_license_index, op9_circulant_minhash, op10_empirical_bayes)
 }
 SQL: dict[str, str] = {"op4_source_mix": mixing.SQL, "op5_warc_revisits": warc.SQL}
