@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keeps Arrow batches short unless the session asks for a size of its own."""
+    """Keeps Arrow batches short unless the session asks for a size of its own, and sends this package
+    to workers that wouldn't find it by themselves."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    found = {os.path.abspath(x) for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x} | {os.getcwd()}
+    if root not in found and "site-packages" not in root and not any(x.endswith("/millrace.zip") for x in spark.sparkContext.listFiles):
+        with tempfile.TemporaryDirectory() as d:
+            path = f"{d}/millrace.zip"
+            with zipfile.ZipFile(path, "w") as z:
+                for folder, _, names in os.walk(f"{root}/millrace"):
+                    for n in names:
+                        if n.endswith(".py"):
+                            z.write(f"{folder}/{n}", os.path.relpath(f"{folder}/{n}", root))
+            spark.sparkContext.addPyFile(path)  # copied to where Spark serves files from
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
