@@ -1,23 +1,61 @@
-"""From documents to packed training sequences: each stage works on what the one before has kept."""
+"""From documents to packed training sequences: each stage works on what the one before has kept.
+
+Stages that reject documents do so by doc_id: rows that share an id stay or go together, and rows
+without an id, which no decision can name, stay.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import mixing, packing
+from millrace.llm import bayes, minhash, mixing, packing, suffixes
 from millrace.llm.common import materialize, table
 
 
+def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """``docs`` without the doc_ids that have a row in ``judged`` (doc_id, kept) that isn't kept."""
+    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier finds bad or toxic."""
+    return _without(docs, bayes.classify(docs, table(spark, sf_dir, "labels")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, and of rows that repeat a doc_id."""
+    judged = minhash.near_duplicates(docs)
+    kept = _without(docs, judged)
+    if judged.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out passages that a document of smaller doc_id also has."""
+    return suffixes.cut_repeats(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents so that sources come to their target weights."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences: a row a piece."""
     return packing.packed_documents(docs)
 
 
-STAGES = [("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
-#: SQL can't express the stages that use models and tokenizers.
+STAGES = [
+    ("quality_classifier", good_documents),
+    ("minhash_near_dedup", one_of_each),
+    ("suffix_array_dedup", cut_repeats),
+    ("source_mix", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+#: SQL can't express the stages that use models and tokenizers; the tests follow each by brute force.
 ORACLE_SQL = None
 
 
