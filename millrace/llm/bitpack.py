@@ -148,13 +148,13 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str | None = None, files
         enc, writer, out = tokens.encoder(tokenizer), None, None
         store, root = _fs(path)
         part = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch, encoded in enc.batches(batches, 1):
             if writer is None:
                 store.create_dir(root, recursive=True)
                 temp = f"{root}/.{part}-{uuid.uuid4().hex}"
                 out = store.open_output_stream(temp)
                 writer = Writer(out, min_bits(enc.size))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 writer.add(doc_id, np.append(ids, END_ID).astype("<u4"))
         if writer is not None:
             writer.close()

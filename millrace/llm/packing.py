@@ -85,9 +85,9 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(tokenizer)
-        for batch in batches:
+        for batch, encoded in enc.batches(batches, 1):
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids = np.append(ids, END_ID).astype("<u4")
                 start, piece = 0, 0
                 end = len(ids) % capacity or capacity
