@@ -1,17 +1,22 @@
 """Web archives (WARC 1.1) without repeated payloads, and the resolution of their revisit records.
 
 Headers, not payloads, are shuffled by payload digest.  Of the records with equal payloads one is
-written as a response and the others as revisits that refer to it.  Archives are written by Spark's
-own text writer, as records in UTF-8 that end with the two line ends that the format asks for, so
-any store that Spark reaches will do and a task that is run again leaves whole files.
+written as a response and the others as revisits that refer to it.  Archives are ``.warc.gz`` files
+with a gzip member for each record, as the format advises, so that a record can be read by its byte
+offset.  A file is written under a name of its own attempt and then renamed, so a task that is run
+again leaves one whole file.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +24,6 @@ from millrace.llm.common import fresh_path, materialize, prepare
 
 #: Payloads of fewer bytes are written in full each time.
 MIN_BYTES = 1000
-#: Records in a file; with payloads of some KB, files stay at some tens of MB.
-RECORDS = 2000
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -81,9 +84,54 @@ def record_text(heads: DataFrame) -> DataFrame:
     return heads.withColumn("_block", block).select(F.concat(F.concat_ws("\r\n", F.lit("WARC/1.1"), *lines), F.lit("\r\n\r\n"), F.col("_block")).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> None:
-    """Writes ``pages`` as deduplicated archives with fresh headers, ``RECORDS`` records a file."""
-    record_text(headers(pages, min_bytes)).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).text(path)
+def _fs(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """Writes ``pages`` as deduplicated archives with fresh headers under ``path``, a file a task.
+
+    Returns the manifest: file, records.
+    """
+    prepare(pages.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _fs(path)
+        out, n, part = None, 0, TaskContext.get().partitionId()
+        for batch in batches:
+            if out is None:
+                store.create_dir(root, recursive=True)
+                temp = f"{root}/.{part}-{uuid.uuid4().hex}"
+                out = store.open_output_stream(temp, compression=None)
+            for record in batch.column(0):
+                member = zlib.compressobj(6, zlib.DEFLATED, 31)
+                out.write(member.compress(record.as_buffer()) + member.compress(END.encode()) + member.flush())
+                n += 1
+        if out is not None:
+            out.close()
+            name = f"part-{part:06d}.warc.gz"
+            store.move(temp, f"{root}/{name}")
+            yield pa.RecordBatch.from_pydict({"file": [name], "records": [n]})
+
+    return materialize(record_text(headers(pages, min_bytes)).mapInArrow(write, "file string, records long"), "archives")
+
+
+def members(f) -> Iterator[bytes]:
+    """The content of each gzip member of a file, one at a time."""
+    rest = b""
+    while True:
+        member, out = zlib.decompressobj(31), []
+        while not member.eof:
+            rest = rest or f.read(1 << 20)
+            if not rest:
+                if out:
+                    raise ValueError("an archive breaks off")
+                return
+            out.append(member.decompress(rest))
+            rest = member.unused_data
+        yield b"".join(out)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -100,28 +148,35 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
         at += len(END)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Heads of all records: page_id, record_type, payload_bytes and payload_digest as found in the
-    record's own payload (of a revisit: null, and its header's), refers_to."""
-    prepare(spark)
+def read_archives(files: DataFrame, path: str) -> DataFrame:
+    """Heads of all records of the ``files`` (file) under ``path``: page_id, record_type,
+    payload_bytes and payload_digest as found in the record's own payload (of a revisit: null, and
+    its header's), refers_to."""
+    number = lambda x: None if x is None else int(x)
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+    names = ["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to"]
+
+    def heads(f) -> Iterator[tuple]:
+        for raw in members(f):
+            for fields, block in parse(raw):
+                if fields["WARC-Type"] == "revisit":
+                    size, digest = None, fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                else:
+                    payload = block[bytes(block[:400]).index(b"\r\n\r\n") + 4 :]
+                    size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+                yield number(fields.get("X-Page-Id")), fields["WARC-Type"], size, digest, number(fields.get("X-Refers-To-Page-Id"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda x: None if x is None else int(x)
+        store, root = _fs(path)
         for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for fields, block in parse(content.as_py()):
-                    if fields["WARC-Type"] == "revisit":
-                        size, digest = None, fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    else:
-                        payload = block[bytes(block[:400]).index(b"\r\n\r\n") + 4 :]
-                        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-                    rows.append((number(fields.get("X-Page-Id")), fields["WARC-Type"], size, digest, number(fields.get("X-Refers-To-Page-Id"))))
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(read, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long")
+            for name in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{root}/{name}", compression=None) as f:
+                    found = heads(f)
+                    while rows := list(itertools.islice(found, 2000)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    some = files.select("file")
+    return some.repartition(max(1, some.count()), "file").mapInArrow(read, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long")
 
 
 def resolve(heads: DataFrame) -> DataFrame:
@@ -136,8 +191,7 @@ def resolve(heads: DataFrame) -> DataFrame:
 def archived(spark: SparkSession, pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Writes ``pages`` to archives, reads them back and resolves their revisits."""
     path = fresh_path(spark, "warc")
-    write_archives(pages, path, min_bytes)
-    return resolve(read_archives(spark, path))
+    return resolve(read_archives(write_archives(pages, path, min_bytes), path))
 
 
 #: The same in DuckDB's SQL.
