@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from functools import wraps
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -220,8 +221,6 @@ def clean_text(df: DataFrame, trim: bool = True, normalize: bool = False, case:
 
 
 def _nfkc() -> Callable[[Column], Column]:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKC")

@@ -45,7 +45,7 @@ def _r(name: str, digits: int = 4):
     return F.round(name, digits).alias(name)
 
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+REVENUE = "l_extendedprice * (1 - l_discount)"
 
 
 @query("""

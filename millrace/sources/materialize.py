@@ -25,7 +25,7 @@ class Store:
     base: str
 
     def _pointer(self, name: str):
-        return _fs(self.spark, f"{self.base}/{name}/_current")
+        return _fs(self.spark, f"{self.base}/{name}/CURRENT")
 
     def path(self, name: str) -> str | None:
         p, fs = self._pointer(name)
