@@ -26,6 +26,8 @@ SAMPLE = 4000
 WORDS = 300
 #: A word tells something if this many documents of the sample have it.
 MIN_DOCS = 4
+#: And if the share of such documents among them is this many standard errors from the sample's.
+ERRORS = 4.0
 #: Bounds of the pseudo-documents of a site's prior.
 STRENGTH = (20.0, 1e6)
 #: Probabilities are kept this far from 0 and 1.
@@ -67,7 +69,7 @@ def features(texts: list[str | None], words: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 25) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 25) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the first column is the constant."""
     w = np.zeros(x.shape[1])
     rate = np.clip(y.mean() if len(y) else 0.5, EDGE, 1 - EDGE)
@@ -107,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
         """Words whose share of such documents is furthest from the sample's, in standard errors."""
         rate = of / max(n, 1)
         z = F.abs(F.col(hits) - F.col("n") * rate) / F.sqrt(F.col("n") * max(rate * (1 - rate), 1e-9))
-        return [bytes(r.word) for r in known.orderBy(z.desc(), "word").limit(WORDS).collect()]
+        return [bytes(r.word) for r in known.filter(z >= ERRORS).orderBy(z.desc(), "word").limit(WORDS).collect()]
 
     words = {w: i for i, w in enumerate(dict.fromkeys(telling("toxic", n_toxic) + telling("bad", n_bad)))}
 
