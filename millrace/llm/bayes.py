@@ -21,13 +21,15 @@ from millrace.llm import crf
 from millrace.llm.common import materialize, prepare
 
 #: Labelled documents that the model is fitted on, at most.
-SAMPLE = 4000
+SAMPLE = 8000
 #: Words that the model may know for each of its two questions.
-WORDS = 300
+WORDS = 400
 #: A word tells something if this many documents of the sample have it.
 MIN_DOCS = 4
 #: And if the share of such documents among them is this many standard errors from the sample's.
 ERRORS = 4.0
+#: Bytes of the beginnings of words.
+STEMS = (4, 5, 6)
 #: Bounds of the pseudo-documents of a site's prior.
 STRENGTH = (20.0, 1e6)
 #: Probabilities are kept this far from 0 and 1.
@@ -45,8 +47,17 @@ class Model:
 
 
 def word_set(text: str | None) -> set[bytes]:
-    """Distinct words, A-Z lower-cased, without marks at their ends."""
-    return {w.strip(_MARKS) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()} - {b""}
+    """Distinct words, A-Z lower-cased, without marks at their ends, and, behind a ^, the beginnings of
+    longer ones: what a word grows from may tell more than the word."""
+    out: set[bytes] = set()
+    for w in set((text or "").encode("utf-8", "surrogatepass").lower().split()):
+        w = w.strip(_MARKS)
+        out.add(w)
+        for n in STEMS:
+            if len(w) > n:
+                out.add(b"^" + w[:n])
+    out.discard(b"")
+    return out
 
 
 def dense(texts: list[str | None]) -> np.ndarray:
