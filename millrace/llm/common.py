@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,26 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The groups, by the first ``keys`` columns, of rows that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        cuts = [0, *(1 + np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols]))).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[a] for c in cols)
+            if held and key != last:
+                yield held[0] if len(held) == 1 else pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
 def n_words(text) -> "F.Column":
     """Number of words of a text column; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

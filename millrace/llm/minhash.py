@@ -10,10 +10,9 @@ scatters the shingles, the second is shifted circularly by k for coordinate k.
    follows from the threshold, so that a pair at the threshold misses all of them with a chance of
    ``MISS`` at most.
 3. In each bucket, the smallest id is compared with the others, on full sets.  What links is one
-   component from then on.  Where a bucket still holds several components, further members are
-   compared with those of other components, first the ones in smaller components, until each pair
-   has been compared or stands in one component.  No pair within a bucket goes undecided, and a
-   bucket of thousands of copies needs about one comparison for each.
+   component from then on.  Where members of other components remain, these are compared with all, by
+   how they differ from the smallest, which gives the exact intersection.  So no pair within a bucket
+   goes undecided, and thousands of copies need about one comparison each.
 """
 
 from __future__ import annotations
@@ -23,20 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHashes, ascii_words, materialize, mix64, prepare
+from millrace.llm.common import WordHashes, ascii_words, materialize, mix64, prepare, sorted_groups
 from millrace.llm.graph import connected_components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS = 5
 MISS = 1e-7
-#: Buckets up to this size are finished in one step after the first comparison.
-SMALL = 32
-#: Members of a larger bucket that are compared with the others at a time, at first.
-PIVOTS = 8
+#: Members of a bucket that stand in one block of comparisons, about.
+BLOCK = 1024
 _WORDS = WordHashes()
 _CHUNK = 1 << 15
 
@@ -125,8 +122,12 @@ def _signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, print binary, keys array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= percent * union, on the full sets."""
+def _spokes(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Compares pairs (a, b, many) on the full sets: linked, sizes, and, if ``many``, in what they differ.
+
+    linked: 100 * intersection >= percent * union; missing: shingles of a that b lacks; differ: hashes of
+    the shingles that one of the two has (uint64, binary).
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,25 +136,99 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(3).to_pylist()
+            texts = batch.column(4).to_pylist()
             once = list(dict.fromkeys(texts))
             of = dict(zip(once, shingle_sets(once, shingle), strict=True))
-            keep = []
-            for raw, text in zip(batch.column(2), texts, strict=True):
+            linked, n_a, n_b, missing, differ = [], [], [], [], []
+            for many, raw, text in zip(batch.column(2).to_pylist(), batch.column(3), texts, strict=True):
                 x, y = np.frombuffer(raw.as_buffer(), np.uint64), of[text]
                 both = np.sort(np.concatenate([x, y]))
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(same > 0 and 100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                twice = both[1:] == both[:-1]
+                same = int(np.count_nonzero(twice))
+                linked.append(same > 0 and 100 * same >= percent * (len(x) + len(y) - same))
+                n_a.append(len(x))
+                n_b.append(len(y))
+                missing.append(len(x) - same)
+                single = ~(np.append(twice, False) | np.insert(twice, 0, False))
+                differ.append(both[single].tobytes() if many and len(both) else b"" if many else None)
+            cols = [pa.array(linked, pa.bool_()), *(pa.array(c, pa.int64()) for c in (n_a, n_b, missing)), pa.array(differ, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["a", "b", "linked", "n_a", "n_b", "missing", "differ"])
 
     first = docs.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(encode, "a long, set_a binary")
-    wide = pairs.join(first, "a").join(docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "b", "set_a", "text")
-    return wide.mapInArrow(compare, "a long, b long").distinct()
+    wide = pairs.join(first, "a").join(docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "b", "many", "set_a", "text")
+    return wide.mapInArrow(compare, "a long, b long, linked boolean, n_a long, n_b long, missing long, differ binary")
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``left`` with all of ``right``."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    tokens, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    n_left = sum(map(len, left))
+    a, b = at[:n_left], at[n_left:]
+    who_a, who_b = (np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right))
+    in_a, in_b = (np.bincount(x, minlength=len(tokens)) for x in (a, b))
+    shared = (in_a > 0) & (in_b > 0)
+    common = shared & (in_a * in_b > 256)
+    # what many have: a product of 0/1 matrices
+    column = np.cumsum(common) - 1
+    for lo in range(0, int(common.sum()), 2048):
+        planes = []
+        for t, who, n in ((a, who_a, len(left)), (b, who_b, len(right))):
+            pick = common[t] & (column[t] >= lo) & (column[t] < lo + 2048)
+            m = np.zeros((n, 2048), np.float32)
+            m[who[pick], column[t[pick]] - lo] = 1
+            planes.append(m)
+        out += np.rint(planes[0] @ planes[1].T).astype(np.int64)
+    # what few have: one by one
+    rare = shared & ~common
+    pick_a, pick_b = rare[a], rare[b]
+    order = np.argsort(b[pick_b], kind="stable")
+    sorted_b, rows_b = b[pick_b][order], who_b[pick_b][order]
+    lo, hi = np.searchsorted(sorted_b, a[pick_a], "left"), np.searchsorted(sorted_b, a[pick_a], "right")
+    n = hi - lo
+    if n.sum():
+        place = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        np.add.at(out, (np.repeat(who_a[pick_a], n), rows_b[place]), 1)
+    return out
+
+
+def _rest(spokes: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one bucket that are in different components so far: (a, b).
 
+    Members are known by how they differ from their bucket's smallest: for x = c - M + N, the
+    intersection of two is |c| - |M1| - |M2| + |M1 & M2| + |N1 & N2|, exactly.  Members outside the
+    largest component are compared with all, in blocks; no pair becomes a row but links, one for each
+    member and component.
+    """
+    labels = connected_components(spokes.filter("linked").select("a", "b"))
+    members = spokes.filter("differ is not null").join(labels.withColumnRenamed("id", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    sizes = members.groupBy("a", "component").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("a").agg(F.sum("n").alias("_all"), F.max(F.struct("n", "component")).alias("_top"), F.count("*").alias("_k")).filter("_k > 1")
+    groups = groups.select("a", "_all", F.col("_top.component").alias("_major"), (F.col("_all") - F.col("_top.n")).alias("_minor"))
+    rows = materialize(members.join(groups, "a"), "open")
+    cols = ["a", "_i", "_j", "_left", "b", "component", "n_a", "n_b", "missing", "differ"]
+    n_i, n_j = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("_minor", "_all"))
+    own = lambda n, salt: F.pmod(F.xxhash64("b", F.lit(salt)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = rows.filter("component <> _major").withColumn("_i", own(n_i, 1)).withColumn("_j", every(n_j)).withColumn("_left", F.lit(True)).select(*cols)
+    right = rows.withColumn("_j", own(n_j, 2)).withColumn("_i", every(n_i)).withColumn("_left", F.lit(False)).select(*cols)
 
-def _with_components(members: DataFrame, links: DataFrame) -> DataFrame:
-    labels = connected_components(links)
-    return members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).select("key", "id", "component")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, 3):
+            side = group.column(3).to_numpy(zero_copy_only=False)
+            ids, component, n_a, n_b, missing = (group.column(k).to_numpy() for k in range(4, 9))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(9)]
+            i, j = np.flatnonzero(side), np.flatnonzero(~side)
+            if not len(i) or not len(j):
+                continue
+            same = n_a[i][:, None] - missing[i][:, None] - missing[j][None] + _overlaps([sets[k] for k in i], [sets[k] for k in j])
+            good = (100 * same >= percent * (n_b[i][:, None] + n_b[j][None] - same)) & (same > 0) & (component[i][:, None] != component[j][None])
+            x, y = np.nonzero(good)
+            _, one = np.unique(np.stack([i[x], component[j[y]]]), axis=1, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i[x[one]]]), pa.array(ids[j[y[one]]])], names=["a", "b"])
+
+    keys = ["a", "_i", "_j"]
+    return left.union(right).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, rows: int = ROWS) -> DataFrame:
@@ -180,41 +255,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     sizes = signed.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_low")).agg(F.max("n_shingles").alias("_most"), F.min("n_shingles").alias("_least"))
     pairs = members.filter("id > _low").select("id", "n_shingles", "_low").distinct().join(sizes, "_low")
     fits = (F.lit(percent) * F.col("n_shingles") <= F.lit(100) * F.col("_most")) & (F.lit(percent) * F.col("_least") <= F.lit(100) * F.col("n_shingles"))
-    pairs = pairs.filter(fits).select(F.col("_low").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialize(_verified(pairs, docs, shingle, percent), "verified")
-    state = members.filter("id = _low or id > _low").select("key", "id").distinct()
-    state = materialize(_with_components(state, links), "state")
-    links = _finish(state, links, docs, shingle, percent)
+    # a pair that its sizes rule out still matters where others stand in the bucket, which it may link with
+    several = members.filter("id > _low").groupBy("_low").agg((F.min("id") < F.max("id")).alias("many"))
+    pairs = pairs.join(several, "_low").filter(fits | F.col("many")).select(F.col("_low").alias("a"), F.col("id").alias("b"), "many").distinct()
+    spokes = materialize(_spokes(pairs, docs, shingle, percent), "spokes")
+    links = spokes.filter("linked").select("a", "b").union(_rest(spokes, percent))
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(copies.select(F.col("id"), F.col("doc_id"))))
     out = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
-
-def _finish(state: DataFrame, links: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Compares members of buckets that hold several components, until none is left undecided.
-
-    ``state``: (key, id, component), where the smallest id of a bucket has been compared with all.
-    A member that has been compared with all others leaves its bucket.
-    """
-    state = state.join(state.groupBy("key").agg(F.min("id").alias("_low")), "key").filter("id > _low").drop("_low")
-    at_once = PIVOTS
-    while True:
-        open_ones = state.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.count("*").alias("_n")).filter("_c <> _d").select("key", "_n")
-        state = materialize(state.join(open_ones, "key"), "open")
-        if state.isEmpty():
-            return links
-        sizes = state.groupBy("key", "component").agg(F.count("*").alias("_size"))
-        ranked = state.join(sizes, ["key", "component"])
-        # pivots: all of a small bucket; of a larger one some, from its smaller components
-        last = Window.partitionBy("key").orderBy("_size", "component", "id")
-        small = ranked.filter(F.col("_n") <= SMALL).select("key", "id", "component")
-        large = ranked.filter(F.col("_n") > SMALL)
-        chosen = large.withColumn("_k", F.row_number().over(last)).filter(F.col("_k") <= at_once).select("key", "id", "component")
-        pivots = materialize(small.union(chosen), "pivots")
-        others = state.select("key", F.col("id").alias("b"), F.col("component").alias("_other"))
-        pairs = pivots.withColumnRenamed("id", "a").join(others, "key").filter("component <> _other")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = materialize(links.union(_verified(pairs, docs, shingle, percent)).distinct(), "verified")
-        state = state.join(pivots.select("key", "id"), ["key", "id"], "left_anti").select("key", "id")
-        state = materialize(_with_components(state, links), "state")
-        at_once *= 2

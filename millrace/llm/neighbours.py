@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, prepare
+from millrace.llm.common import materialize, prepare, sorted_groups
 from millrace.llm.graph import connected_components
 
 THRESHOLD = 0.9
@@ -69,33 +69,13 @@ def unit_vectors(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(unit, "vec_id long, unit binary, print binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """The groups, by the first ``keys`` columns, of rows that are sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
-        cuts = [0, *(1 + np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols]))).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            key = tuple(c[a] for c in cols)
-            if held and key != last:
-                yield held[0] if len(held) == 1 else pa.concat_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield held[0] if len(held) == 1 else pa.concat_batches(held)
-
-
 def _nearest(rows: DataFrame, keys: list[str], size: int, floor: float) -> DataFrame:
     """Compares the vectors (id, unit) of each group with each other: for each, the ``size`` nearest of
     its group (u, v, s) with a cosine of ``floor`` at least."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [[], [], []], 0
-        for group in _groups(batches, len(keys)):
+        for group in sorted_groups(batches, len(keys)):
             ids, x = group.column(len(keys)).to_numpy(), _matrix(group.column(len(keys) + 1))
             for a in range(0, len(ids), BLOCK):
                 s = x[a : a + BLOCK] @ x.T
@@ -161,7 +141,7 @@ def _within_components(units: DataFrame, components: DataFrame, threshold: float
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, links, held = [], [], 0
-        for group in _groups(batches, 3):
+        for group in sorted_groups(batches, 3):
             i, j = group.column(1)[0].as_py(), group.column(2)[0].as_py()
             who, x, copies, own = group.column(3).to_numpy(), _matrix(group.column(4)), group.column(5).to_numpy(), group.column(6).to_numpy()
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
