@@ -100,7 +100,7 @@ def neighbours(suffixes: DataFrame) -> DataFrame:
     names = ["gram", "doc", "place", "no", "between"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.empty(0, np.int64)] * 5  # the last row, and before it the rows that it would be compared with
+        kept = [np.empty(0, np.int64)] * 5  # the last run of a gram and document, and those that it would be compared with
         opening = None  # the first run: its predecessors are in other tasks
         for batch in batches:
             new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
@@ -112,27 +112,30 @@ def neighbours(suffixes: DataFrame) -> DataFrame:
             gram, doc, place, no, between = cols = [np.concatenate([k, x]) for k, x in zip(kept, new, strict=True)]
             i = np.arange(len(gram))
             begins = np.concatenate([[True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])])
-            before = np.maximum.accumulate(np.where(begins, i, 0)) - 1
-            before = np.where((before >= 0) & (gram[before] == gram), before, -1)
-            paired = (before >= 0) & (i >= old)
-            b, a = i[paired], before[paired]
-            yield rows(0, gram[b], [c[b] for c in cols[1:]], [c[a] for c in cols[1:]])
-            differs = between[b] != between[a]
-            b, a = b[differs], a[differs]
-            for _ in range(MORE):
-                further = before[a] >= 0
-                b, a = b[further], before[a[further]]
-                other = doc[a] != doc[b]
-                yield rows(0, gram[b[other]], [c[b[other]] for c in cols[1:]], [c[a[other]] for c in cols[1:]])
-            pending = i[(gram == opening[0]) & (doc == opening[1]) & ~paired & (i >= old)]
+            start = np.maximum.accumulate(np.where(begins, i, 0))  # of the run of equal gram and document
+            above = np.where((start > 0) & (gram[start - 1] == gram), start - 1, -1)  # last row of the run before, of the same gram
+            b = i[(above >= 0) & (i >= old)]
+            last = above[b]
+            for k in range(1 + MORE):
+                # a text that repeats itself has many places: they are matched in order, over and over
+                a = start[last] + (b - start[b]) % (last - start[last] + 1)
+                yield rows(0, gram[b], [c[b] for c in cols[1:]], [c[a] for c in cols[1:]])
+                go = above[last] >= 0
+                if k == 0:
+                    go &= between[b] != between[a]
+                b, last = b[go], above[last[go]]
+            pending = i[(gram == opening[0]) & (doc == opening[1]) & (above < 0) & (i >= old)]
+            pending = pending[(pending - start[pending]) % 3 == 0]  # of a text that repeats itself, every third place is near enough to the others
             if len(pending):
                 yield rows(1, gram[pending], [c[pending] for c in cols[1:]], None)
-            keep = [len(gram) - 1]
-            while before[keep[0]] >= 0 and len(keep) <= MORE + 1:
-                keep.insert(0, before[keep[0]])
-            kept = [c[keep] for c in cols]
+            ends, keep = [len(gram) - 1], start[-1]
+            for _ in range(MORE + 1):
+                if above[keep] >= 0:
+                    ends.insert(0, above[keep])
+                    keep = start[above[keep]]
+            kept, tail = [c[keep:] for c in cols], [c[ends[-2:]] for c in cols]
         if len(kept[0]):
-            yield rows(2, kept[0][-2:], None, [c[-2:] for c in kept[1:]])
+            yield rows(2, tail[0], None, tail[1:])
 
     def rows(kind: int, gram: np.ndarray, b: list | None, a: list | None) -> pa.RecordBatch:
         n, out = len(gram), [pa.array(np.full(len(gram), kind, np.int32)), pa.array(gram)]
@@ -142,13 +145,16 @@ def neighbours(suffixes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in _PAIR.split(", ")])
 
     order = ["gram", "doc", "place"]
-    found = materialize(suffixes.select(*names).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, _PAIR), "neighbours")
-    # a few rows a task
-    b = found.filter("kind = 1").select("gram", "b_doc", "b_place", "b_no", "b_between")
-    a = found.filter("kind = 2").select("gram", F.struct("a_doc", "a_place", "a_no", "a_between").alias("a"))
-    over = b.join(a, "gram").filter("a.a_doc < b_doc").groupBy(*b.columns).agg(F.max("a").alias("a"))
+    suffixes = materialize(suffixes.select(*names), "suffixes")  # a sort by range reads its input twice
+    found = materialize(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, _PAIR), "neighbours")
+    # a few rows a task: of the last rows of tasks, the one that each open row would follow
+    b = found.filter("kind = 1").select("gram", F.col("b_doc").alias("doc"), F.struct("b_place", "b_no", "b_between").alias("b"), F.lit(None).cast("struct<a_doc:bigint,a_place:int,a_no:int,a_between:bigint>").alias("a"))
+    a = found.filter("kind = 2").select("gram", F.col("a_doc").alias("doc"), F.lit(None).cast("struct<b_place:int,b_no:int,b_between:bigint>").alias("b"), F.struct("a_doc", "a_place", "a_no", "a_between").alias("a"))
+    smaller = Window.partitionBy("gram").orderBy("doc").rangeBetween(Window.unboundedPreceding, -1)
+    over = b.union(a).withColumn("a", F.when(F.col("b").isNotNull(), F.max("a").over(smaller))).filter("b is not null and a is not null")
+    over = over.select("gram", F.col("doc").alias("b_doc"), "b.*", "a.*")
     columns = [x.split()[0] for x in _PAIR.split(", ")][1:]
-    return found.filter("kind = 0").select(*columns).union(over.select(*b.columns, "a.*").select(*columns)).filter("b_doc <> a_doc")
+    return found.filter("kind = 0").select(*columns).union(over.select(*columns)).filter("b_doc <> a_doc")
 
 
 def matched_runs(pairs: DataFrame) -> DataFrame:
@@ -201,24 +207,34 @@ def _extend(docs: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _extended(words: np.ndarray, runs: list[dict], min_words: int) -> list[tuple[int, int, int]]:
-    """(first word, end, other document) of the runs that hold on this text and are long enough."""
-    out = []
-    up, down = _powers(GRAM)
+    """(first word, end, other document) of the runs that hold on this text and are long enough.
+
+    Long runs go first; one that lies so deep within a span that it can't add to it is passed over.
+    """
+    if len(words) < min_words:
+        return []
+    runs = [r for r in runs if r["b_last"] + GRAM <= len(words)]
+    # a document with several texts: is it this one?
+    n = len(words)
+    up, down = _powers(n)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(words) * down[:n], dtype=np.uint64)])
+    first = np.array([r["b_first"] for r in runs], np.int64)
+    same = run_hashes(sums, up, first, first + GRAM).view(np.int64) == np.array([r["gram"] for r in runs], np.int64)
+    runs = sorted((r for r, ok in zip(runs, same.tolist(), strict=True) if ok), key=lambda r: r["b_first"] - r["b_last"])
+    out: list[tuple[int, int, int]] = []
     for r in runs:
         first, end = r["b_first"], r["b_last"] + GRAM
-        if end > len(words):
-            continue
-        # a document with several texts: is it this one?
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(words[first : first + GRAM]) * down[:GRAM], dtype=np.uint64)])
-        if int(run_hashes(sums, up, np.array([0]), np.array([GRAM])).view(np.int64)[0]) != r["gram"]:
+        if any(s <= max(0, first - REACH) and e >= min(n, end + REACH) for s, e, _ in out[:64]):
             continue
         left, right = np.frombuffer(r["left"], np.uint64), np.frombuffer(r["right"], np.uint64)
-        n = min(len(left), first)
-        off = np.flatnonzero(left[len(left) - n :][::-1] != words[first - n : first][::-1])
-        first -= int(off[0]) if len(off) else n
-        n = min(len(right), len(words) - end)
-        off = np.flatnonzero(right[:n] != words[end : end + n])
-        end += int(off[0]) if len(off) else n
+        k = min(len(left), first)
+        if k:
+            off = np.flatnonzero(left[len(left) - k :] != words[first - k : first])
+            first -= k - 1 - int(off[-1]) if len(off) else k
+        k = min(len(right), n - end)
+        if k:
+            off = np.flatnonzero(right[:k] != words[end : end + k])
+            end += int(off[0]) if len(off) else k
         if end - first >= min_words:
             out.append((first, end, r["a_doc"]))
     return sorted(out)
@@ -287,6 +303,6 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     new = repeats(docs, min_words).select("doc_id", "text", "spans").mapInArrow(cut, "_id long, _print string, _left string")
     same = (docs["doc_id"].cast("long") == new["_id"]) & (F.md5(docs["text"].cast("string").cast("binary")) == new["_print"])
-    rows = docs.join(new, same, "left").filter(F.col("_id").isNull() | F.col("_left").isNotNull())
-    one = {"text": F.coalesce("_left", docs["text"])} | ({"n_chars": F.when(F.col("_left").isNotNull(), F.length("_left").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])} if "n_chars" in docs.columns else {})
+    rows = docs.join(new, same, "left").filter(new["_id"].isNull() | new["_left"].isNotNull())
+    one = {"text": F.coalesce(new["_left"], docs["text"])} | ({"n_chars": F.when(new["_left"].isNotNull(), F.length(new["_left"]).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])} if "n_chars" in docs.columns else {})
     return rows.select(*(one.get(c, docs[c]).alias(c) for c in docs.columns))
