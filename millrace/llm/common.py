@@ -114,10 +114,22 @@ def _fmix64(x: np.ndarray) -> np.ndarray:
 mix64 = _fmix64
 
 
+#: What a Python worker keeps between tasks, by kind; workers live long and run all kinds of tasks.
+_KEPT: dict[str, object] = {}
+
+
+def keep_only(kind: str, cache: object) -> None:
+    """Notes a worker's cache and empties those of other kinds."""
+    if _KEPT.get(kind) is not cache or len(_KEPT) > 1:
+        for k in [k for k in _KEPT if k != kind]:
+            _KEPT.pop(k).clear()
+        _KEPT[kind] = cache
+
+
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, remembered for as many words as ``most``."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         import xxhash
 
         self.most, self.hash = most, xxhash.xxh3_64_intdigest
@@ -129,9 +141,13 @@ class WordHashes(dict):
         return out
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        keep_only("words", self)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+WORD_HASHES = WordHashes()
+
+
 def ascii_words(text: str | None, lower: bool = True) -> list[bytes]:
     """Words of a text as UTF-8, A-Z lower-cased if asked for; none for null.
 

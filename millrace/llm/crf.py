@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHashes, ascii_words, mix64, prepare
+from millrace.llm.common import WORD_HASHES, ascii_words, mix64, prepare
 
 #: Labelled documents that the weights are fitted on, at most; those with the smallest hashes of ids.
 SAMPLE = 800
@@ -27,7 +27,6 @@ SHARE = 0.5
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
-_WORDS = WordHashes()
 FEATURES = ("one", "symbols a word", "upper a letter", "marks a word", "same as before", "repeated", "duplicate line", "short", "long words", "tiny words", "digits", "no words")
 
 
@@ -84,7 +83,7 @@ def measure(texts: list[str | None]) -> Texts:
 
     # windows of three words that come again within their text
     n_words = total["word"]
-    hashes = _WORDS.of([w for t in texts for w in ascii_words(t, lower=False)])
+    hashes = WORD_HASHES.of([w for t in texts for w in ascii_words(t, lower=False)])
     doc = np.repeat(np.arange(len(texts)), n_words)
     covered = np.zeros(len(hashes), bool)
     if len(hashes) > 2:

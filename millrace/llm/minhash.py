@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHashes, ascii_words, materialize, mix64, prepare, sorted_groups
+from millrace.llm.common import WORD_HASHES, ascii_words, materialize, mix64, prepare, sorted_groups
 from millrace.llm.graph import connected_components
 
 SHINGLE = 5
@@ -34,7 +34,6 @@ ROWS = 5
 MISS = 1e-7
 #: Members of a bucket that stand in one block of comparisons, about.
 BLOCK = 1024
-_WORDS = WordHashes()
 _CHUNK = 1 << 15
 
 
@@ -46,7 +45,7 @@ def shingle_sets(texts: list[str | None], shingle: int) -> list[np.ndarray]:
     """Sorted 64-bit hashes of the distinct shingles of each text."""
     words = [ascii_words(t) for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
-    every = _WORDS.of([w for some in words for w in some])
+    every = WORD_HASHES.of([w for some in words for w in some])
     h = every.copy()
     for j in range(1, shingle):
         h[: len(h) - j] = mix64(h[: len(h) - j]) + every[j:] * np.uint64(0x9E3779B97F4A7C15)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WordHashes, ascii_words, materialize, mix64, prepare
+from millrace.llm.common import WORD_HASHES, ascii_words, materialize, mix64, prepare
 
 MIN_WORDS = 50
 GRAM = 24
@@ -29,7 +29,6 @@ WINDOW = MIN_WORDS - GRAM + 1
 REACH = MIN_WORDS
 #: Further neighbours that are compared where the nearest one goes on differently.
 MORE = 2
-_WORDS = WordHashes()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -46,7 +45,7 @@ def run_hashes(sums: np.ndarray, up: np.ndarray, start: np.ndarray, end: np.ndar
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    return _WORDS.of(ascii_words(text, lower=False))
+    return WORD_HASHES.of(ascii_words(text, lower=False))
 
 
 def minimisers(texts: list[str | None]) -> tuple[np.ndarray, ...]:
@@ -54,7 +53,7 @@ def minimisers(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     to the next minimiser (0 at a text's last)."""
     words = [ascii_words(t, lower=False) for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
-    every = mix64(_WORDS.of([w for some in words for w in some]))
+    every = mix64(WORD_HASHES.of([w for some in words for w in some]))
     n = len(every)
     empty = np.empty(0, np.int64)
     if n < MIN_WORDS:

@@ -19,13 +19,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from millrace.llm.common import keep_only
+
 # a task has one core; the library's own threads would only spin
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Parts of pieces that a worker remembers.
-PIECES = 900_000
+PIECES = 500_000
 #: Characters in a call of the library, which is fastest on short texts.
 CALL = 2_000
 #: A Latin letter or digit and an ASCII mark or line end; apostrophes may belong to what follows.
@@ -37,7 +39,7 @@ _UNCUT = rf"'|\x00|{_WHITE}{_WHITE}"
 #: A space beside other white space (Unicode's, and the four separators that Python adds), or at an end.
 _ODD_TEXT = rf"\A | \z|\x00|{_WHITE} | {_WHITE}"
 #: Bytes of text that are encoded together.
-TOGETHER = 6_000_000
+TOGETHER = 3_000_000
 
 
 def spread(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +118,9 @@ class Encoder:
                     raw = ids.tobytes()
                     self.parts.update(zip(group, map(raw.__getitem__, map(slice, ((at + gap) * step).tolist(), [*(at[1:] * step).tolist(), len(raw)])), strict=True))
 
+    def clear(self) -> None:
+        self.parts, self.older = {}, {}
+
     def _plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int64).astype(self.dtype).tobytes()
 
@@ -221,4 +226,5 @@ def encoder(path: str) -> Encoder:
     """The worker's encoder of a file; it stays loaded while the Python worker lives."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    keep_only("tokens", _ENCODERS[path])
     return _ENCODERS[path]
