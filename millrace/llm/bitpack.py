@@ -133,16 +133,17 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str | None = None, files
     """Encodes ``docs`` (doc_id, text; other columns are left alone) into files under ``path``.
 
     Documents lie in ascending doc_id over the files in the order of their names, null ids last, rows
-    of one id by text.  A null text counts as empty; each document ends with id 0.  Returns the
+    of one id by a hash of the text.  A null text counts as empty; each document ends with id 0.  Returns the
     manifest: file, part, n_docs, n_tokens, first (ids of all files before).  A file is written under
     a name of its own attempt and then renamed, so a task that is run again leaves one whole file.
     """
     spark = docs.sparkSession
     prepare(spark)
     tokenizer = tokenizer or tokens.tokenizer_path()
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = (rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
+    # rows of one id are in the order of a hash: sort keys are sampled, and texts may be long
+    order = [F.col("doc_id").asc_nulls_last(), F.col("_hash").asc()]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_hash", F.xxhash64("text"))
+    rows = (rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)).sortWithinPartitions(*order).select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, writer, out = tokens.encoder(tokenizer), None, None
