@@ -1,14 +1,17 @@
 """Passages that repeat across documents, by a sparse suffix array.
 
-Suffixes are kept at minimisers only: of every ``WINDOW`` places in a row, the one whose next ``GRAM``
-words have the smallest hash.  A passage of ``MIN_WORDS`` words has a minimiser within itself, and it
-is the same in each copy.  The kept suffixes are sorted by those words and then by place; neighbours
-that begin alike are copies.  Matches are followed from minimiser to minimiser while the words between
-are the same, and their ends are extended word by word.  The copy in the smaller doc_id is the
-original, so one always stays.
-
-The sort is by range of (hash, doc_id, place), so a passage with very many copies is spread over tasks;
-neighbours that a border parts are matched by what each task says of its first and last rows.
+Words are sampled at minimisers only: of every row of places, as many as a passage leaves room for, the
+one whose next ``GRAM`` words have the smallest hash.  A passage of ``MIN_WORDS`` words has a minimiser
+within itself, and it is the same in each copy.  The windows of ``MIN_WORDS`` words that share a
+minimiser follow one another, and are one segment.
+
+A segment that a smaller doc_id has too is a repeat as a whole.  Of the others, one for each document
+that has it first, those whose gram stands in segments of several documents are opened: all their
+windows are looked up the same way.  So a window is found exactly if a smaller doc_id has it, whatever
+goes before or after and however often it occurs; the smallest doc_id is the original and stays.
+
+Rows are looked up by a sort by range of (hash, doc_id, place), so ones with very many copies are spread
+over tasks; what a border parts is put right by what each task says of its first and last hash.
 """
 
 from __future__ import annotations
@@ -17,18 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import WORD_HASHES, ascii_words, materialize, mix64, prepare
 
 MIN_WORDS = 50
 GRAM = 24
-WINDOW = MIN_WORDS - GRAM + 1
-#: Words to either side that are looked at beyond the last minimiser of a match; the next one would stand nearer.
-REACH = MIN_WORDS
-#: Further neighbours that are compared where the nearest one goes on differently.
-MORE = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -48,208 +46,142 @@ def word_hashes(text: str | None) -> np.ndarray:
     return WORD_HASHES.of(ascii_words(text, lower=False))
 
 
-def minimisers(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Of all texts: text, place, hash of the gram there, number within the text, hash of the words up
-    to the next minimiser (0 at a text's last)."""
+def _running(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of word hashes, and the powers that ``run_hashes`` wants."""
+    up, down = _powers(len(words))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(words) * down[: len(words)], dtype=np.uint64)]), up
+
+
+def segments(texts: list[str | None], min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+    """Of all texts: text, place of the first window, windows, hash of the gram at the minimiser, hash
+    of all words of the windows."""
     words = [ascii_words(t, lower=False) for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
-    every = mix64(WORD_HASHES.of([w for some in words for w in some]))
+    every = WORD_HASHES.of([w for some in words for w in some])
     n = len(every)
     empty = np.empty(0, np.int64)
-    if n < MIN_WORDS:
-        return empty, empty, empty.astype(np.uint64), empty, empty.astype(np.uint64)
-    up, down = _powers(n)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(every * down[:n], dtype=np.uint64)])
+    if n < min_words:
+        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+    sums, up = _running(every)
     at = np.arange(n - GRAM + 1)
     gram = run_hashes(sums, up, at, at + GRAM)
     text = np.repeat(np.arange(len(texts)), lengths)
-    first = np.arange(n - MIN_WORDS + 1)
-    first = first[text[first] == text[first + MIN_WORDS - 1]]  # windows within one text
-    view = np.lib.stride_tricks.sliding_window_view(gram, WINDOW)
-    chosen = np.unique(np.concatenate([first[a : a + 20_000] + view[first[a : a + 20_000]].argmin(axis=1) for a in range(0, len(first), 20_000)] or [empty]))
-    owner = text[chosen]
+    first = np.arange(n - min_words + 1)
+    first = first[text[first] == text[first + min_words - 1]]  # windows within one text
+    view = np.lib.stride_tricks.sliding_window_view(gram, min_words - GRAM + 1)
+    chosen = np.concatenate([first[a : a + 20_000] + view[first[a : a + 20_000]].argmin(axis=1) for a in range(0, len(first), 20_000)] or [empty])
+    begins = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]])) if len(chosen) else empty
+    count = np.diff(np.append(begins, len(chosen)))
+    start = first[begins]
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    new = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(chosen) else np.empty(0, bool)
-    order = np.arange(len(chosen)) - np.maximum.accumulate(np.where(new, np.arange(len(chosen)), 0)) if len(chosen) else empty
-    following = np.concatenate([chosen[1:], [0]]) if len(chosen) else empty
-    last = np.concatenate([new[1:], [True]]) if len(chosen) else np.empty(0, bool)
-    between = np.where(last, np.uint64(0), run_hashes(sums, up, chosen, np.where(last, chosen, following)))
-    return owner, chosen - starts[owner], gram[chosen], order, between
+    return text[start], start - starts[text[start]], count, gram[chosen[begins]], run_hashes(sums, up, start, start + count + min_words - 1)
 
 
-def sampled_suffixes(docs: DataFrame) -> DataFrame:
+def sampled_segments(docs: DataFrame, min_words: int) -> DataFrame:
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, place, gram, order, between = minimisers(batch.column(1).to_pylist())
+            owner, place, count, gram, whole = segments(batch.column(1).to_pylist(), min_words)
             ids = batch.column(0).to_numpy(zero_copy_only=False)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(ids), pa.array(place.astype(np.int32)), pa.array(order.astype(np.int32)), pa.array(between.view(np.int64))], names=["gram", "doc", "place", "no", "between"])
+            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(ids), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(gram.view(np.int64))], names=["hash", "doc", "place", "count", "gram"])
 
-    return docs.filter("doc_id is not null").mapInArrow(sample, "gram long, doc long, place int, no int, between long")
+    return docs.filter("doc_id is not null").mapInArrow(sample, "hash long, doc long, place int, count int, gram long")
 
 
-_PAIR = "kind int, gram long, b_doc long, b_place int, b_no int, b_between long, a_doc long, a_place int, a_no int, a_between long"
+def with_least(rows: DataFrame, what: str) -> DataFrame:
+    """Adds ``least``, the smallest doc among the rows of equal hash, to ``rows`` (hash, doc, place, and others)."""
+    names = rows.columns
+    fields = rows.schema.fields
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: list[tuple[int, int]] = []  # the task's first and last hash: other tasks may have rows of them
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            begins = np.concatenate([[True], key[1:] != key[:-1]])
+            least = doc[np.maximum.accumulate(np.where(begins, np.arange(len(key)), 0))]
+            if edges and edges[-1][0] == key[0]:
+                after = np.flatnonzero(begins[1:])
+                least[: after[0] + 1 if len(after) else len(key)] = edges[-1][1]
+            edges = [edges[0] if edges else (key[0], least[0]), (key[-1], least[-1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least), pa.array(np.zeros(len(key), bool))], names=[*names, "least", "edge"])
+        if edges:
+            cols = [pa.array([int(e[0]) for e in edges], pa.int64())] + [pa.nulls(len(edges), {"bigint": pa.int64(), "int": pa.int32()}[f.dataType.simpleString()]) for f in fields[1:]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([int(e[1]) for e in edges], pa.int64()), pa.array([True] * len(edges))], names=[*names, "least", "edge"])
+
+    order = ["hash", "doc", "place"]
+    rows = materialize(rows, what)  # a sort by range reads its input twice
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", least long, edge boolean"
+    found = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(mark, schema), what)
+    # at most two rows a task
+    edges = found.filter("edge").groupBy("hash").agg(F.min("least").alias("_all"))
+    return found.filter("not edge").join(F.broadcast(edges), "hash", "left").select(*names, F.coalesce("_all", "least").alias("least"))
+
+
+def _holds(words: np.ndarray, items: list[dict], min_words: int) -> list[dict]:
+    """The items that stand in this text; a document may have several."""
+    items = [r for r in items if r["place"] + r["count"] + min_words - 1 <= len(words)]
+    if not items:
+        return []
+    sums, up = _running(words)
+    start, count = np.array([r["place"] for r in items], np.int64), np.array([r["count"] for r in items], np.int64)
+    same = run_hashes(sums, up, start, start + count + min_words - 1).view(np.int64) == np.array([r["hash"] for r in items], np.int64)
+    return [r for r, ok in zip(items, same.tolist(), strict=True) if ok]
 
-def neighbours(suffixes: DataFrame) -> DataFrame:
-    """Pairs (b, a) of equal grams, a being the last place before b, in the sort, of another document.
 
-    Where the words up to the next minimiser differ, the neighbour may be but a fragment of the passage;
-    b is then compared with ``MORE`` documents further up too.
-    """
-    names = ["gram", "doc", "place", "no", "between"]
+def opened(text: DataFrame, parts: DataFrame, min_words: int) -> DataFrame:
+    """The windows (hash, doc, place) of segments (doc, place, count, hash)."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.empty(0, np.int64)] * 5  # the last run of a gram and document, and those that it would be compared with
-        opening = None  # the first run: its predecessors are in other tasks
-        for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            if not len(new[0]):
-                continue
-            if opening is None:
-                opening = (new[0][0], new[1][0])
-            old = len(kept[0])
-            gram, doc, place, no, between = cols = [np.concatenate([k, x]) for k, x in zip(kept, new, strict=True)]
-            i = np.arange(len(gram))
-            begins = np.concatenate([[True], (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])])
-            start = np.maximum.accumulate(np.where(begins, i, 0))  # of the run of equal gram and document
-            above = np.where((start > 0) & (gram[start - 1] == gram), start - 1, -1)  # last row of the run before, of the same gram
-            b = i[(above >= 0) & (i >= old)]
-            last = above[b]
-            for k in range(1 + MORE):
-                # a text that repeats itself has many places: they are matched in order, over and over
-                a = start[last] + (b - start[b]) % (last - start[last] + 1)
-                yield rows(0, gram[b], [c[b] for c in cols[1:]], [c[a] for c in cols[1:]])
-                go = above[last] >= 0
-                if k == 0:
-                    go &= between[b] != between[a]
-                b, last = b[go], above[last[go]]
-            pending = i[(gram == opening[0]) & (doc == opening[1]) & (above < 0) & (i >= old)]
-            pending = pending[(pending - start[pending]) % 3 == 0]  # of a text that repeats itself, every third place is near enough to the others
-            if len(pending):
-                yield rows(1, gram[pending], [c[pending] for c in cols[1:]], None)
-            ends, keep = [len(gram) - 1], start[-1]
-            for _ in range(MORE + 1):
-                if above[keep] >= 0:
-                    ends.insert(0, above[keep])
-                    keep = start[above[keep]]
-            kept, tail = [c[keep:] for c in cols], [c[ends[-2:]] for c in cols]
-        if len(kept[0]):
-            yield rows(2, tail[0], None, tail[1:])
-
-    def rows(kind: int, gram: np.ndarray, b: list | None, a: list | None) -> pa.RecordBatch:
-        n, out = len(gram), [pa.array(np.full(len(gram), kind, np.int32)), pa.array(gram)]
-        for side in (b, a):
-            for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64())):
-                out.append(pa.nulls(n, t) if side is None else pa.array(side[k]).cast(t))
-        return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in _PAIR.split(", ")])
-
-    order = ["gram", "doc", "place"]
-    suffixes = materialize(suffixes.select(*names), "suffixes")  # a sort by range reads its input twice
-    found = materialize(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, _PAIR), "neighbours")
-    # a few rows a task: of the last rows of tasks, the one that each open row would follow
-    b = found.filter("kind = 1").select("gram", F.col("b_doc").alias("doc"), F.struct("b_place", "b_no", "b_between").alias("b"), F.lit(None).cast("struct<a_doc:bigint,a_place:int,a_no:int,a_between:bigint>").alias("a"))
-    a = found.filter("kind = 2").select("gram", F.col("a_doc").alias("doc"), F.lit(None).cast("struct<b_place:int,b_no:int,b_between:bigint>").alias("b"), F.struct("a_doc", "a_place", "a_no", "a_between").alias("a"))
-    smaller = Window.partitionBy("gram").orderBy("doc").rangeBetween(Window.unboundedPreceding, -1)
-    over = b.union(a).withColumn("a", F.when(F.col("b").isNotNull(), F.max("a").over(smaller))).filter("b is not null and a is not null")
-    over = over.select("gram", F.col("doc").alias("b_doc"), "b.*", "a.*")
-    columns = [x.split()[0] for x in _PAIR.split(", ")][1:]
-    return found.filter("kind = 0").select(*columns).union(over.select(*columns)).filter("b_doc <> a_doc")
-
-
-def matched_runs(pairs: DataFrame) -> DataFrame:
-    """Joins pairs at successive minimisers of both documents, with the same words between, to runs."""
-    order = Window.partitionBy("b_doc", "a_doc").orderBy("_shift", "b_place")
-    was = {c: F.lag(c).over(order) for c in ("_shift", "b_no", "a_no", "b_between", "a_between")}
-    goes_on = (was["_shift"] == F.col("_shift")) & (was["b_no"] == F.col("b_no") - 1) & (was["a_no"] == F.col("a_no") - 1) & (was["b_between"] == was["a_between"])
-    marked = pairs.withColumn("_shift", F.col("b_place") - F.col("a_place")).dropDuplicates(["b_doc", "a_doc", "_shift", "b_place"])
-    marked = marked.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
-    return marked.groupBy("b_doc", "a_doc", "_run").agg(F.min("b_place").alias("b_first"), F.max("b_place").alias("b_last"), F.min("a_place").alias("a_first"), F.max("a_place").alias("a_last"), F.min_by("gram", "b_place").alias("gram"))
-
-
-def _extend(docs: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
-    """Extends runs at both ends; one row for each document that has a long enough match, with its
-    text and its spans."""
-
-    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("a_doc", "b_doc", "b_first", "b_last", "gram", "left", "right")}
-            for doc, text, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                w = word_hashes(text)
-                for r in runs:
-                    if r["a_last"] + GRAM > len(w):
-                        continue
-                    out["a_doc"].append(doc)
-                    for k in ("b_doc", "b_first", "b_last", "gram"):
-                        out[k].append(r[k])
-                    out["left"].append(w[max(0, r["a_first"] - REACH) : r["a_first"]].tobytes())
-                    out["right"].append(w[r["a_last"] + GRAM : r["a_last"] + GRAM + REACH].tobytes())
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+            for doc, text, items in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words = word_hashes(text)
+                held = _holds(words, items, min_words)
+                if not held:
+                    continue
+                at = np.concatenate([np.arange(r["place"], r["place"] + r["count"]) for r in held])
+                sums, up = _running(words)
+                yield pa.RecordBatch.from_arrays([pa.array(run_hashes(sums, up, at, at + min_words).view(np.int64)), pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32))], names=["hash", "doc", "place"])
+
+    by_doc = parts.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("place", "count", "hash")).alias("items"))
+    return text.join(by_doc, "doc_id").mapInArrow(windows, "hash long, doc long, place int")
+
+
+def _spans(text: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """One row for each document that has repeats, with its text and its spans."""
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, texts, found = [], [], []
-            for doc, text, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                got = _merge(_extended(word_hashes(text), runs, min_words))
-                if got:
+            docs, texts, out = [], [], []
+            for doc, text, items in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                held = _holds(word_hashes(text), items, min_words)
+                if held:
                     docs.append(doc)
                     texts.append(text)
-                    found.append([{"first_word": s, "end_word": e, "other": o} for s, e, o in got])
+                    out.append([{"first_word": s, "end_word": e, "other": o} for s, e, o in _merge(sorted((r["place"], r["place"] + r["count"] + min_words - 1, r["least"]) for r in held))])
             span = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("other", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.string()), pa.array(found, span)], names=["doc_id", "text", "spans"])
-
-    text = docs.filter("doc_id is not null").select("doc_id", "text")
-    by_a = runs.groupBy(F.col("a_doc").alias("doc_id")).agg(F.collect_list(F.struct("b_doc", "b_first", "b_last", "a_first", "a_last", "gram")).alias("runs"))
-    ends = text.join(by_a, "doc_id").mapInArrow(sides, "a_doc long, b_doc long, b_first int, b_last int, gram long, left binary, right binary")
-    by_b = ends.groupBy(F.col("b_doc").alias("doc_id")).agg(F.collect_list(F.struct("a_doc", "b_first", "b_last", "gram", "left", "right")).alias("runs"))
-    return text.join(by_b, "doc_id").mapInArrow(spans, "doc_id long, text string, spans array<struct<first_word:int,end_word:int,other:bigint>>")
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.string()), pa.array(out, span)], names=["doc_id", "text", "spans"])
 
-
-def _extended(words: np.ndarray, runs: list[dict], min_words: int) -> list[tuple[int, int, int]]:
-    """(first word, end, other document) of the runs that hold on this text and are long enough.
-
-    Long runs go first; one that lies so deep within a span that it can't add to it is passed over.
-    """
-    if len(words) < min_words:
-        return []
-    runs = [r for r in runs if r["b_last"] + GRAM <= len(words)]
-    # a document with several texts: is it this one?
-    n = len(words)
-    up, down = _powers(n)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(words) * down[:n], dtype=np.uint64)])
-    first = np.array([r["b_first"] for r in runs], np.int64)
-    same = run_hashes(sums, up, first, first + GRAM).view(np.int64) == np.array([r["gram"] for r in runs], np.int64)
-    runs = sorted((r for r, ok in zip(runs, same.tolist(), strict=True) if ok), key=lambda r: r["b_first"] - r["b_last"])
-    out: list[tuple[int, int, int]] = []
-    for r in runs:
-        first, end = r["b_first"], r["b_last"] + GRAM
-        if any(s <= max(0, first - REACH) and e >= min(n, end + REACH) for s, e, _ in out[:64]):
-            continue
-        left, right = np.frombuffer(r["left"], np.uint64), np.frombuffer(r["right"], np.uint64)
-        k = min(len(left), first)
-        if k:
-            off = np.flatnonzero(left[len(left) - k :] != words[first - k : first])
-            first -= k - 1 - int(off[-1]) if len(off) else k
-        k = min(len(right), n - end)
-        if k:
-            off = np.flatnonzero(right[:k] != words[end : end + k])
-            end += int(off[0]) if len(off) else k
-        if end - first >= min_words:
-            out.append((first, end, r["a_doc"]))
-    return sorted(out)
+    by_doc = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("place", "count", "hash", "least")).alias("items"))
+    return text.join(by_doc, "doc_id").mapInArrow(spans, "doc_id long, text string, spans array<struct<first_word:int,end_word:int,other:bigint>>")
 
 
 def _merge(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Joins spans that overlap; the longest one names the other document."""
-    out: list[list] = []
+    """Joins spans, sorted, that overlap or touch; the document with the longest part, of overlapping spans, is named."""
+    out: list[tuple[int, int, int]] = []
+    parts: dict[int, tuple[int, int]] = {}
+    most = 0
     for s, e, o in found:
-        if out and s <= out[-1][1]:
-            if e - s > out[-1][3]:
-                out[-1][2:] = [o, e - s]
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e, o, e - s])
-    return [(s, e, o) for s, e, o, _ in out]
+        if not out or s > out[-1][1]:
+            out.append((s, e, o))
+            parts, most = {}, 0
+        begin, end = parts.get(o, (s, s))
+        parts[o] = begin, end = (begin, max(end, e)) if s < end else (s, e)
+        first, last, other = out[-1]
+        if end - begin > most:
+            other, most = o, end - begin
+        out[-1] = (first, max(last, e), other)
+    return out
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -264,8 +196,14 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         raise ValueError(f"passages of fewer than {MIN_WORDS} words may have no minimiser")
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = materialize(matched_runs(neighbours(sampled_suffixes(docs))), "runs")
-    return _extend(docs, runs, min_words).dropDuplicates()
+    text = docs.filter("doc_id is not null")
+    whole = with_least(sampled_segments(docs, min_words), "segments")
+    own = whole.filter("doc = least")
+    shared = own.groupBy("gram").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).filter("_a < _b").select("gram")
+    single = with_least(opened(text, own.join(shared, "gram", "left_semi"), min_words), "windows")
+    columns = ["doc", "place", "count", "hash", "least"]
+    found = whole.filter("doc > least").select(*columns).union(single.filter("doc > least").withColumn("count", F.lit(1)).select(*columns))
+    return _spans(text, found, min_words).dropDuplicates()
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

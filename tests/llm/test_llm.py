@@ -255,6 +255,23 @@ def test_repeats_across_borders(spark, parts):
     assert {i for i, _ in got} == set(range(1, 40)) and all(n >= 52 for _, n in got)
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_repeats_in_frames(spark, parts):
+    """Frames that go on differently, with the true copy far up."""
+    rng = random.Random(21)
+    frame, ends = prose(rng, 45), [prose(rng, 15) for _ in range(20)]
+    rows = [(i, f"{prose(rng, 30)} {frame} {rng.choice(ends)} {prose(rng, 30)}") for i in range(150)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = defaultdict(set)
+        for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+            assert r.other_doc_id < r.doc_id
+            got[r.doc_id].update(range(r.first_word, r.first_word + r.n_words))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == brute_repeats(rows)
+
+
 # 4
 
 
