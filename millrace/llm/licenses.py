@@ -1,10 +1,9 @@
 """Licence notices in texts, found by a positional index of rare words.
 
-Templates are indexed by word: (template, position).  Of the licence words that a text has, those with
-the highest inverse document frequency, counted over all texts, are looked up.  Each place of such a
-word votes for where a template would begin; a template with enough votes for one beginning is
-compared with the text there, word by word, and counts if it agrees well and its mandatory phrases
-stand where they should.
+Templates are indexed by word: (template, position).  Of each template's mandatory words, the one with
+the highest inverse document frequency, counted over all texts, is looked up.  Each place of it says
+where the template would begin, and no notice lacks it; the template is compared with the text there,
+word by word, and counts if it agrees well and its mandatory phrases stand where they should.
 """
 
 from __future__ import annotations
@@ -41,8 +40,7 @@ TEMPLATES = [
 ]
 #: Phrases of the base and their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-#: Rare words of a text that are looked up, votes for a beginning, and share of words that agree.
-RARE = 12
+#: Words that agree, at least, and share of words that agree.
 VOTES = 2
 AGREE = 0.8
 _FOLD = bytes((c + 32) if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -61,6 +59,7 @@ class Index:
     mandatory: list[list[tuple[int, int]]]  # (first word, words) in the template
     postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
     idf: dict[bytes, float] = field(default_factory=dict)
+    anchors: dict[bytes, list[tuple[int, int]]] | None = None
 
 
 def build_index(templates=TEMPLATES) -> Index:
@@ -98,22 +97,29 @@ def weigh(index: Index, docs: DataFrame) -> Index:
     return index
 
 
+def anchors(index: Index) -> dict[bytes, list[tuple[int, int]]]:
+    """The places that are looked up, by word: of each template, its rarest mandatory word; all its words
+    if none is mandatory."""
+    out = defaultdict(list)
+    for k, template in enumerate(index.templates):
+        places = [q for p, m in index.mandatory[k] for q in range(p, p + m)]
+        rarest = [min(places, key=lambda q: (-index.idf.get(template[q], 0.0), template[q], q))] if places else range(len(template))
+        for q in rarest:
+            out[template[q]].append((k, q))
+    return dict(out)
+
+
 def find(words: list[bytes], hits: np.ndarray, index: Index) -> list[tuple[str, int, float]]:
     """(label, first word, share that agrees) of the templates found.  ``hits``: places of licence words."""
-    at = hits.tolist()
-    rare = sorted({words[i] for i in at}, key=lambda w: (-index.idf.get(w, 0.0), w))[:RARE]
-    wanted, votes = set(rare), Counter()
-    for i in at:
-        if words[i] in wanted:
-            votes.update((k, i - p) for k, p in index.postings[words[i]])
+    if index.anchors is None:
+        index.anchors = anchors(index)
+    begins = {(k, i - p) for i in hits.tolist() for k, p in index.anchors.get(words[i], ())}
     out = []
-    for (k, begin), n in votes.items():
+    for k, begin in begins:
         template = index.templates[k]
-        if n < VOTES:
-            continue
         if all(begin + p >= 0 and words[begin + p : begin + p + m] == template[p : p + m] for p, m in index.mandatory[k]):
             same = sum(0 <= begin + p < len(words) and words[begin + p] == w for p, w in enumerate(template))
-            if same >= AGREE * len(template):
+            if same >= max(VOTES, AGREE * len(template)):
                 out.append((index.labels[k], begin, same / len(template)))
     return sorted(out, key=lambda x: (x[1], x[0], -x[2]))
 

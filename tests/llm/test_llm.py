@@ -401,6 +401,19 @@ def test_licences(spark, docs):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_licences_of_several_notices(spark):
+    """Verbatim notices in one text are all found, whatever else it holds."""
+    said = [t for _, t, _ in licenses.TEMPLATES]
+    pairs = [(a, b) for a in range(len(said)) for b in range(len(said)) if a != b]
+    rows = [(k, f"{said[a]} x y z {said[b]}") for k, (a, b) in enumerate(pairs)] + [(1000, " x y z ".join(said))]
+    got = {r.doc_id: {(m.label, m.first_word) for m in r.matches if m.share == 1} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (a, b) in enumerate(pairs):
+        assert got[k] >= {(licenses.TEMPLATES[a][0], 0), (licenses.TEMPLATES[b][0], len(said[a].split()) + 3)}
+    places = [sum(len(t.split()) + 3 for t in said[:k]) for k in range(len(said))]
+    assert got[1000] >= {(licenses.TEMPLATES[k][0], p) for k, p in enumerate(places)}
+
+
+
 # 9
 
 
