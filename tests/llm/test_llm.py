@@ -255,6 +255,24 @@ def test_repeats_across_borders(spark, parts):
     assert {i for i, _ in got} == set(range(1, 40)) and all(n >= 52 for _, n in got)
 
 
+@pytest.mark.parametrize("parts", [5, 41])
+def test_passages_far_apart_across_borders(spark, parts):
+    """Documents that hold a passage three times are cut in all places, whatever the partitions."""
+    rng = random.Random(22)
+    passage = prose(rng, 56)
+    rows = [(i, " ".join(f"{passage} {prose(rng, 70)}" for _ in range(3))) for i in range(40)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = defaultdict(set)
+        for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+            got[r.doc_id].update(range(r.first_word, r.first_word + r.n_words))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == brute_repeats(rows)
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_repeats_in_frames(spark, parts):
     """Frames that go on differently, with the true copy far up."""
