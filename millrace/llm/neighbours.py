@@ -9,6 +9,9 @@
    component are complete, and none is given that isn't one.
 5. Recall is audited by comparing a bounded set of queries with all vectors.  If it falls short, more
    hyperplanes are added and the rounds repeated.
+6. What lists and buckets, which are bounded, have missed is found by blocks: vectors of different
+   components are compared, blocks that lie too far apart for a link left out, and components that a
+   link joins are one.
 
 Lists only keep neighbours of a cosine of ``FLOOR``: two vectors that both link with a third have one
 of 2 * t * t - 1 at least, which is 0.62 for t = 0.9, so what can lead to a link is nearly always kept.
@@ -166,6 +169,57 @@ def _within_components(units: DataFrame, components: DataFrame, threshold: float
     return counted.groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _across_components(units: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) between the components of vectors of different ones, one for each two components
+    and blocks.  Compares all vectors but those of blocks whose centres lie too far apart for a link."""
+    reach = math.acos(min(1.0, threshold)) + 1e-6
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def block() -> pa.RecordBatch:
+            rows = pa.concat_batches(held)
+            x, component = _matrix(rows.column(2)), rows.column(0).to_numpy()
+            centre = x.mean(axis=0)
+            centre /= np.sqrt((centre * centre).sum()) or 1.0
+            wide = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+            values = ([int(component[0])], [int(rows.column(1)[0].as_py())], [component.tobytes()], [x.tobytes()], [centre.tolist()], [wide])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["component", "id", "components", "units", "centre", "wide"])
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                if held and sum(b.num_rows for b in held) + part.num_rows > BLOCK:
+                    yield block()
+                    held = []
+                if part.num_rows:
+                    held.append(part)
+        if held:
+            yield block()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ca, cb = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in (0, 2))
+                xa, xb = (np.frombuffer(batch.column(c)[k].as_buffer(), np.float64) for c in (1, 3))
+                i, j = np.nonzero(xa.reshape(len(ca), -1) @ xb.reshape(len(cb), -1).T >= threshold)
+                other = ca[i] != cb[j]
+                if other.any():
+                    pairs = np.unique(np.stack([ca[i[other]], cb[j[other]]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+
+    rows = units.join(components, "id", "left").select(F.coalesce("component", "id").alias("component"), "id", "unit")
+    rows = materialize(rows, "members")  # a sort by range reads its input twice
+    blocks = rows.repartitionByRange("component", "id").sortWithinPartitions("component", "id").mapInArrow(pack, "component long, id long, components binary, units binary, centre array<double>, wide double")
+    blocks = materialize(blocks, "blocks")
+    a, b = (blocks.select(*(F.col(c).alias(f"{side}_{c}") for c in blocks.columns)) for side in "ab")
+    cosine = F.aggregate(F.zip_with("a_centre", "b_centre", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    near = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) <= F.col("a_wide") + F.col("b_wide") + reach
+    pairs = a.repartition(24, "a_id").join(b, (F.col("a_id") <= F.col("b_id")) & near)
+    return pairs.select("a_components", "a_units", "b_components", "b_units").mapInArrow(compare, "u long, v long")
+
+
 def audit(units: DataFrame, found: DataFrame, threshold: float, most: int = AUDIT) -> float:
     """Share of the links of a bounded set of queries, with ids divisible by 20, that ``found`` (id,
     links) has, by comparing them with all vectors; 1 if they have none."""
@@ -228,7 +282,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, seed: int = 1
             break
         tables *= 2
     else:
-        warnings.warn(f"the audit found a recall of {recall:.3f}", stacklevel=2)
+        warnings.warn(f"the audit found a recall of {recall:.3f} before the comparison by blocks", stacklevel=2)
+    if n:
+        joined = materialize(_across_components(units, components, threshold), "joined")
+        if not joined.isEmpty():
+            known = lists.filter(F.col("s") >= threshold).select("u", "v")
+            components = materialize(connected_components(known.union(joined)), "components")
+            found = materialize(_within_components(units, components, threshold), "links")
     per_class = units.join(components, "id", "left").join(found, "id", "left").select("print", "id", "name", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # components of vec_ids: copies and links, and rows that repeat an id
     least = per_class.groupBy("component").agg(F.min("name").alias("_least"))

@@ -396,6 +396,24 @@ def test_near_vectors(spark):
     assert neighbours.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_links_between_saturated_groups(spark, monkeypatch):
+    """Links of vectors whose lists are full of nearer ones, and of pairs that no bucket or list holds."""
+    rng = np.random.default_rng(4)
+    one = rng.normal(size=64)
+    one /= np.linalg.norm(one)
+    side = rng.normal(size=64)
+    side -= (side @ one) * one
+    two = 0.95 * one + math.sqrt(1 - 0.95**2) * side / np.linalg.norm(side)
+    x = np.concatenate([c + 0.15 / 8 * rng.normal(size=(40, 64)) for c in (one, two)] + [rng.normal(size=(600, 64))])
+    x[100] = x[101] + 0.02 * rng.normal(size=64)
+    true = (x / np.linalg.norm(x, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T >= 0.9
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    monkeypatch.setattr(neighbours, "TABLES", 1)
+    got = {r.vec_id: r for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    assert [got[i].n_links for i in range(len(x))] == (true.sum(axis=1) - 1).tolist()
+    assert {got[i].component_id for i in range(80)} == {0} and got[101].component_id == 100
+
+
 def test_repeated_vectors(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])]
     got = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
