@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
+import io
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,30 +18,74 @@ from pyspark.sql import functions as F
 
 #: A word, as the contracts define it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch.  Texts can be long, so batches are kept short.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch at most.  Texts can be long, and are held several times over while
+#: they are worked on, so batches are kept short; a single text longer than that is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+#: A key is hot that has more than this share of a table's rows, and more than so many.
+HOT_SHARE, HOT_ROWS = 1 / 200, 400
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _send_package(spark: SparkSession, root: str) -> None:
+    """Puts this package into the shared folder, as a zip named by its content, for workers to fetch."""
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for folder, _, names in sorted(os.walk(f"{root}/millrace")):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    with open(f"{folder}/{n}", "rb") as f:
+                        z.writestr(zipfile.ZipInfo(os.path.relpath(f"{folder}/{n}", root)), f.read())
+    name = f"millrace-{hashlib.sha1(raw.getvalue()).hexdigest()[:16]}.zip"
+    if any(x.endswith(f"/{name}") for x in spark.sparkContext.listFiles):
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    kept = path(f"{shared_dir(spark)}/millrace/code/{name}")
+    fs = kept.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(kept):
+        with tempfile.NamedTemporaryFile(suffix=".zip") as f:  # read by the driver only
+            f.write(raw.getvalue())
+            f.flush()
+            part = path(f"{kept.toString()}.{uuid.uuid4().hex}")
+            fs.copyFromLocalFile(path(f"file://{f.name}"), part)
+        if not fs.rename(part, kept) and not fs.exists(kept):
+            raise OSError(f"can't write {kept.toString()}")
+    spark.sparkContext.addPyFile(kept.toString())
+
+
 def prepare(spark: SparkSession) -> None:
     """Keeps Arrow batches short unless the session asks for a size of its own, and sends this package
     to workers that wouldn't find it by themselves."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     found = {os.path.abspath(x) for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x} | {os.getcwd()}
-    if root not in found and "site-packages" not in root and not any(x.endswith("/millrace.zip") for x in spark.sparkContext.listFiles):
-        with tempfile.TemporaryDirectory() as d:
-            path = f"{d}/millrace.zip"
-            with zipfile.ZipFile(path, "w") as z:
-                for folder, _, names in os.walk(f"{root}/millrace"):
-                    for n in names:
-                        if n.endswith(".py"):
-                            z.write(f"{folder}/{n}", os.path.relpath(f"{folder}/{n}", root))
-            spark.sparkContext.addPyFile(path)  # copied to where Spark serves files from
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if root not in found and "site-packages" not in root:
+        _send_package(spark, root)
+    for key, usual, ours in (("maxRecordsPerBatch", ("10000",), BATCH_ROWS), ("maxBytesPerBatch", ("67108864", "67108864b", "64MB", "64m"), BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", usual[0]) in usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(ours))
+
+
+def _give_back() -> None:
+    """Returns memory that is free to the system: workers live on, idle, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def arrow(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` by a worker that keeps no free memory when its task is over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return rows.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,6 +124,34 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hot_limit(rows: int) -> int:
+    """Rows that a key may have before it counts as hot, in a table of so many rows: no table has more
+    than 1 / HOT_SHARE hot keys."""
+    return max(int(rows * HOT_SHARE), HOT_ROWS)
+
+
+def hot_keys(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The keys of more than ``limit`` rows, with their number as _n.  Counted before the shuffle."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+
+
+def join_hot(rows: DataFrame, one: DataFrame, keys: list[str], limit: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with ``one``, which has a row a key: rows of hot keys stay where they are and meet
+    a broadcast of ``one``'s rows of these keys, of which ``limit`` (see ``hot_limit``) allows 200 at most."""
+    hot = hot_keys(rows, keys, limit).drop("_n")
+    few = one.join(F.broadcast(hot), keys, "left_semi")
+    cold = rows.join(F.broadcast(hot), keys, "left_anti").join(one, keys, how)
+    warm = rows if how == "inner" else rows.join(F.broadcast(hot), keys, "left_semi")
+    return warm.join(F.broadcast(few), keys, how).select(*cold.columns).union(cold)
+
+
+def split_hot(rows: DataFrame, keys: list[str], by: list[str], limit: int) -> DataFrame:
+    """Adds _slot: rows of a hot key are dealt out, by a hash of the columns ``by``, to slots of about ``limit`` rows."""
+    hot = hot_keys(rows, keys, limit)
+    slot = F.pmod(F.xxhash64(*by), F.ceil(F.col("_n") / limit))
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("_slot", F.coalesce(slot, F.lit(0)).cast("int")).drop("_n")
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     """The groups, by the first ``keys`` columns, of rows that are sorted by them."""
     held: list[pa.RecordBatch] = []

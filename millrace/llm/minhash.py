@@ -25,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD_HASHES, ascii_words, materialize, mix64, prepare, sorted_groups
+from millrace.llm.common import WORD_HASHES, arrow, ascii_words, hot_limit, join_hot, materialize, mix64, prepare, sorted_groups, split_hot
 from millrace.llm.graph import connected_components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 ROWS = 5
 MISS = 1e-7
-#: Members of a bucket that stand in one block of comparisons, about.
-BLOCK = 1024
+#: Members of a bucket that stand in one block of comparisons, about, and bytes of their differences.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Pairs of entries that ``_overlaps`` holds at a time.
+PAIRS = 1 << 20
 _CHUNK = 1 << 15
 
 
@@ -108,7 +110,7 @@ def _signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), shingle)
+            sets = shingle_sets(batch.column(2).to_pylist(), shingle)
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             keys: list = [None] * len(sets)
@@ -116,46 +118,54 @@ def _signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 for i, k in zip(full.tolist(), band_keys(circulant_signatures([sets[i] for i in full], bands * rows), bands, rows), strict=True):
                     keys[i] = k
             prints = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "print", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "print", "keys"])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, print binary, keys array<long>")
+    return arrow(docs, sign, "doc_id long, text_hash long, n_shingles long, print binary, keys array<long>")
 
 
 def _spokes(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Compares pairs (a, b, many) on the full sets: linked, sizes, and, if ``many``, in what they differ.
+    """Compares pairs of texts (a, a_hash, b, b_hash, many) on the full sets: linked, sizes, and, if
+    ``many``, in what they differ.
 
     linked: 100 * intersection >= percent * union; missing: shingles of a that b lacks; differ: hashes of
     the shingles that one of the two has (uint64, binary).
-    """
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["a", "set_a"])
+    The pairs of an ``a`` that has very many are dealt out to slots.  ``a``'s text goes to each of its
+    slots once and the others stream past it.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: tuple | None = None
+        bases: list[np.ndarray] = []  # texts of the current a; several if hashes of texts collide
         for batch in batches:
-            texts = batch.column(4).to_pylist()
-            once = list(dict.fromkeys(texts))
-            of = dict(zip(once, shingle_sets(once, shingle), strict=True))
-            linked, n_a, n_b, missing, differ = [], [], [], [], []
-            for many, raw, text in zip(batch.column(2).to_pylist(), batch.column(3), texts, strict=True):
-                x, y = np.frombuffer(raw.as_buffer(), np.uint64), of[text]
-                both = np.sort(np.concatenate([x, y]))
-                twice = both[1:] == both[:-1]
-                same = int(np.count_nonzero(twice))
-                linked.append(same > 0 and 100 * same >= percent * (len(x) + len(y) - same))
-                n_a.append(len(x))
-                n_b.append(len(y))
-                missing.append(len(x) - same)
-                single = ~(np.append(twice, False) | np.insert(twice, 0, False))
-                differ.append(both[single].tobytes() if many and len(both) else b"" if many else None)
-            cols = [pa.array(linked, pa.bool_()), *(pa.array(c, pa.int64()) for c in (n_a, n_b, missing)), pa.array(differ, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["a", "b", "linked", "n_a", "n_b", "missing", "differ"])
-
-    first = docs.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(encode, "a long, set_a binary")
-    wide = pairs.join(first, "a").join(docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "b", "many", "set_a", "text")
-    return wide.mapInArrow(compare, "a long, b long, linked boolean, n_a long, n_b long, missing long, differ binary")
+            sets = shingle_sets(batch.column(6).to_pylist(), shingle)
+            out: list[list] = [[] for _ in range(9)]
+            for *pair, slot, b, b_hash, many, x in zip(*(batch.column(k).to_pylist() for k in range(6)), sets, strict=True):
+                if b_hash is None:
+                    if of != (*pair, slot):
+                        of, bases = (*pair, slot), []
+                    if not any(np.array_equal(x, y) for y in bases):
+                        bases.append(x)
+                    continue
+                for base in bases:
+                    both = np.sort(np.concatenate([base, x]))
+                    twice = both[1:] == both[:-1]
+                    same = int(np.count_nonzero(twice))
+                    single = ~(np.append(twice, False) | np.insert(twice, 0, False))
+                    linked = same > 0 and 100 * same >= percent * (len(base) + len(x) - same)
+                    row = (*pair, b, b_hash, linked, len(base), len(x), len(base) - same, both[single].tobytes() if many else None)
+                    for c, value in zip(out, row, strict=True):
+                        c.append(value)
+            kinds = [pa.int64()] * 4 + [pa.bool_()] + [pa.int64()] * 3 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["a", "a_hash", "b", "b_hash", "linked", "n_a", "n_b", "missing", "differ"])
+
+    keys = ["a", "a_hash", "_slot"]
+    pairs = materialize(split_hot(pairs, ["a", "a_hash"], ["b", "b_hash"], hot_limit(pairs.count())), "pairs")
+    text = lambda side: docs.select(F.col("doc_id").alias(side), F.col("text_hash").alias(f"{side}_hash"), "text")
+    first = pairs.select(*keys).distinct().join(text("a"), ["a", "a_hash"]).select(*keys, F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("b_hash"), F.lit(None).cast("boolean").alias("many"), "text")
+    rest = pairs.join(text("b"), ["b", "b_hash"]).select(*keys, "b", "b_hash", "many", "text")
+    wide = first.union(rest).repartition(*keys).sortWithinPartitions(*keys, F.col("b_hash").isNotNull(), "b", "b_hash")
+    return arrow(wide, compare, "a long, a_hash long, b long, b_hash long, linked boolean, n_a long, n_b long, missing long, differ binary")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -183,11 +193,17 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     pick_a, pick_b = rare[a], rare[b]
     order = np.argsort(b[pick_b], kind="stable")
     sorted_b, rows_b = b[pick_b][order], who_b[pick_b][order]
-    lo, hi = np.searchsorted(sorted_b, a[pick_a], "left"), np.searchsorted(sorted_b, a[pick_a], "right")
-    n = hi - lo
-    if n.sum():
-        place = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        np.add.at(out, (np.repeat(who_a[pick_a], n), rows_b[place]), 1)
+    rows_a, tokens_a = who_a[pick_a], a[pick_a]
+    lo = np.searchsorted(sorted_b, tokens_a, "left")
+    n = np.searchsorted(sorted_b, tokens_a, "right") - lo
+    done = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        upto = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, "right")))
+        m = n[at:upto]
+        place = np.repeat(lo[at:upto] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        out += np.bincount(np.repeat(rows_a[at:upto], m) * len(right) + rows_b[place], minlength=out.size).reshape(out.shape)
+        at = upto
     return out
 
 
@@ -201,22 +217,23 @@ def _rest(spokes: DataFrame, percent: int) -> DataFrame:
     """
     labels = connected_components(spokes.filter("linked").select("a", "b"))
     members = spokes.filter("differ is not null").join(labels.withColumnRenamed("id", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-    sizes = members.groupBy("a", "component").agg(F.count("*").alias("n"))
-    groups = sizes.groupBy("a").agg(F.sum("n").alias("_all"), F.max(F.struct("n", "component")).alias("_top"), F.count("*").alias("_k")).filter("_k > 1")
-    groups = groups.select("a", "_all", F.col("_top.component").alias("_major"), (F.col("_all") - F.col("_top.n")).alias("_minor"))
-    rows = materialize(members.join(groups, "a"), "open")
-    cols = ["a", "_i", "_j", "_left", "b", "component", "n_a", "n_b", "missing", "differ"]
-    n_i, n_j = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("_minor", "_all"))
-    own = lambda n, salt: F.pmod(F.xxhash64("b", F.lit(salt)), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = rows.filter("component <> _major").withColumn("_i", own(n_i, 1)).withColumn("_j", every(n_j)).withColumn("_left", F.lit(True)).select(*cols)
-    right = rows.withColumn("_j", own(n_j, 2)).withColumn("_i", every(n_i)).withColumn("_left", F.lit(False)).select(*cols)
+    node = ["a", "a_hash"]
+    sizes = members.groupBy(*node, "component").agg(F.count("*").alias("n"), F.sum(F.octet_length("differ")).alias("_bytes"))
+    groups = sizes.groupBy(*node).agg(F.sum("n").alias("_all"), F.max(F.struct("n", "component", "_bytes")).alias("_top"), F.count("*").alias("_k"), F.sum("_bytes").alias("_all_bytes")).filter("_k > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    groups = groups.select(*node, F.col("_top.component").alias("_major"), blocks(F.col("_all"), F.col("_all_bytes")).alias("_nj"), blocks(F.col("_all") - F.col("_top.n"), F.col("_all_bytes") - F.col("_top._bytes")).alias("_ni"))
+    rows = materialize(join_hot(members, groups, node, hot_limit(spokes.count())), "open")
+    cols = [*node, "_i", "_j", "_left", "b", "component", "n_a", "n_b", "missing", "differ"]
+    own = lambda n, salt: F.pmod(F.xxhash64("b", "b_hash", F.lit(salt)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.filter("component <> _major").withColumn("_i", own(F.col("_ni"), 1)).withColumn("_j", every("_nj")).withColumn("_left", F.lit(True)).select(*cols)
+    right = rows.withColumn("_j", own(F.col("_nj"), 2)).withColumn("_i", every("_ni")).withColumn("_left", F.lit(False)).select(*cols)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, 3):
-            side = group.column(3).to_numpy(zero_copy_only=False)
-            ids, component, n_a, n_b, missing = (group.column(k).to_numpy() for k in range(4, 9))
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(9)]
+        for group in sorted_groups(batches, 4):
+            side = group.column(4).to_numpy(zero_copy_only=False)
+            ids, component, n_a, n_b, missing = (group.column(k).to_numpy() for k in range(5, 10))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(10)]
             i, j = np.flatnonzero(side), np.flatnonzero(~side)
             if not len(i) or not len(j):
                 continue
@@ -226,8 +243,8 @@ def _rest(spokes: DataFrame, percent: int) -> DataFrame:
             _, one = np.unique(np.stack([i[x], component[j[y]]]), axis=1, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(ids[i[x[one]]]), pa.array(ids[j[y[one]]])], names=["a", "b"])
 
-    keys = ["a", "_i", "_j"]
-    return left.union(right).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+    keys = [*node, "_i", "_j"]
+    return arrow(left.union(right).repartition(*keys).sortWithinPartitions(*keys), compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, rows: int = ROWS) -> DataFrame:
@@ -241,22 +258,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     """
     prepare(docs.sparkSession)
     percent, bands = round(threshold * 100), bands_for(threshold, rows)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     signed = materialize(_signed(docs, shingle, bands, rows), "signatures")
+    limit = hot_limit(signed.count())
     named = signed.filter(F.col("doc_id").isNotNull() & F.col("print").isNotNull())
-    classes = named.groupBy("print").agg(F.min("doc_id").alias("id"), F.count("*").alias("_n"))
-    copies = named.select("print", "doc_id").join(classes.filter("_n > 1"), "print").filter("doc_id <> id").select("doc_id", "id")
-    firsts = named.join(classes.select("print", F.col("id").alias("doc_id")), ["print", "doc_id"], "left_semi").dropDuplicates(["print"])
-    banded = materialize(firsts.select(F.col("doc_id").alias("id"), "n_shingles", "keys"), "firsts").select("id", "n_shingles", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).filter("_low < _high")
-    # ids of a bucket with its smallest; the sizes alone rule some pairs out
-    members = materialize(banded.join(buckets.select("key", "_low"), "key").select("key", "id", "n_shingles", "_low"), "members")
-    sizes = signed.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_low")).agg(F.max("n_shingles").alias("_most"), F.min("n_shingles").alias("_least"))
-    pairs = members.filter("id > _low").select("id", "n_shingles", "_low").distinct().join(sizes, "_low")
-    fits = (F.lit(percent) * F.col("n_shingles") <= F.lit(100) * F.col("_most")) & (F.lit(percent) * F.col("_least") <= F.lit(100) * F.col("n_shingles"))
-    # a pair that its sizes rule out still matters where others stand in the bucket, which it may link with
-    several = members.filter("id > _low").groupBy("_low").agg((F.min("id") < F.max("id")).alias("many"))
-    pairs = pairs.join(several, "_low").filter(fits | F.col("many")).select(F.col("_low").alias("a"), F.col("id").alias("b"), "many").distinct()
+    classes = materialize(named.groupBy("print").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "keys")).alias("_first"), F.count("*").alias("_n")), "classes")
+    copies = join_hot(named.select("print", "doc_id"), classes.filter("_n > 1").select("print", F.col("_first.doc_id").alias("id")), ["print"], limit).filter("doc_id <> id").select("doc_id", "id")
+    banded = classes.select(F.struct(F.col("_first.doc_id").alias("id"), F.col("_first.text_hash").alias("hash"), F.col("_first.n_shingles").alias("n")).alias("node"), F.explode("_first.keys").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min("node").alias("_low"), F.count("*").alias("_n")).filter("_n > 1")
+    # members of a bucket with its smallest; the sizes alone rule some pairs out, but a pair still matters
+    # where others stand in the bucket, which it may link with
+    members = join_hot(banded, buckets, ["key"], hot_limit(bands * classes.count())).filter("node <> _low")
+    fits = (F.lit(percent) * F.col("node.n") <= F.lit(100) * F.col("_low.n")) & (F.lit(percent) * F.col("_low.n") <= F.lit(100) * F.col("node.n"))
+    pairs = members.groupBy(F.col("_low.id").alias("a"), F.col("_low.hash").alias("a_hash"), F.col("node.id").alias("b"), F.col("node.hash").alias("b_hash")).agg(F.max(fits).alias("_fits"), F.max(F.col("_n") > 2).alias("many"))
+    pairs = materialize(pairs.filter(F.col("_fits") | F.col("many")).drop("_fits"), "members")
     spokes = materialize(_spokes(pairs, docs, shingle, percent), "spokes")
     links = spokes.filter("linked").select("a", "b").union(_rest(spokes, percent))
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(copies.select(F.col("id"), F.col("doc_id"))))
