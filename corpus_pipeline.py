@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bayes, minhash, mixing, packing, suffixes
-from millrace.llm.common import materialize, table
+from millrace.llm.common import hot_limit, join_hot, materialize, table
 
 
 def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
@@ -25,12 +25,17 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, and of rows that repeat a doc_id."""
+    """Keeps one document of each group of near-duplicates, and, of rows that repeat a doc_id, the one
+    with the smallest hash of its columns, whatever the order of rows."""
     judged = minhash.near_duplicates(docs)
     kept = _without(docs, judged)
     if judged.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    hashed = kept.withColumn("_hash", F.xxhash64(*kept.columns))
+    repeated = hashed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("_hash").alias("_least"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    rows = join_hot(hashed, repeated, ["doc_id"], hot_limit(docs.count()), "left")
+    same = rows.filter(F.col("_hash") == F.col("_least")).dropDuplicates(["doc_id"])  # equal rows are left
+    return rows.filter("_least is null").unionByName(same).select(*kept.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
