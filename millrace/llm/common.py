@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", str(ours))
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns memory that is free to the system: workers live on, idle, beside those of the next stage."""
     pa.default_memory_pool().release_unused()
     try:
@@ -83,7 +84,7 @@ def arrow(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         try:
             yield from work(batches)
         finally:
-            _give_back()
+            give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -115,13 +116,17 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of intermediate files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Removes the files of tables made by ``materialize``, once nothing will read them again."""
-    spark = df.sparkSession
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
         if "/millrace/" in f:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove(df.sparkSession, f)
 
 
 def hot_limit(rows: int) -> int:
@@ -233,3 +238,21 @@ def ascii_words(text: str | None, lower: bool = True) -> list[bytes]:
         return []
     raw = text.encode("utf-8", "surrogatepass")
     return (raw.lower() if lower else raw).split()
+
+
+def split_words(texts: pa.Array | list[str | None], lower: bool = True) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Words of each text, A-Z lower-cased if asked for: how many each has (none for null), and all of
+    them one after another.  Arrow's ASCII white space is just the six characters of the contracts."""
+    texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    bounds = cut.offsets.to_numpy().astype(np.int64)
+    flat = cut.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty piece
+    done = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return np.diff(done[bounds - bounds[0]]), flat.filter(real).cast(pa.binary()).dictionary_encode()
+
+
+def hashed_words(texts: pa.Array | list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and the 64-bit hashes of all of them one after another."""
+    n, words = split_words(texts, lower)
+    return n, WORD_HASHES.of(words.dictionary.to_pylist())[words.indices.to_numpy()]

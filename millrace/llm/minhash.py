@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD_HASHES, arrow, ascii_words, hot_limit, join_hot, materialize, mix64, prepare, sorted_groups, split_hot
+from millrace.llm.common import arrow, hashed_words, hot_limit, join_hot, materialize, mix64, prepare, sorted_groups, split_hot
 from millrace.llm.graph import connected_components
 
 SHINGLE = 5
@@ -43,11 +43,9 @@ def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - threshold**rows))
 
 
-def shingle_sets(texts: list[str | None], shingle: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array | list[str | None], shingle: int) -> list[np.ndarray]:
     """Sorted 64-bit hashes of the distinct shingles of each text."""
-    words = [ascii_words(t) for t in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    every = WORD_HASHES.of([w for some in words for w in some])
+    lengths, every = hashed_words(texts)
     h = every.copy()
     for j in range(1, shingle):
         h[: len(h) - j] = mix64(h[: len(h) - j]) + every[j:] * np.uint64(0x9E3779B97F4A7C15)
@@ -110,7 +108,7 @@ def _signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets(batch.column(2).to_pylist(), shingle)
+            sets = shingle_sets(batch.column(2), shingle)
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             keys: list = [None] * len(sets)
@@ -138,7 +136,7 @@ def _spokes(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
         of: tuple | None = None
         bases: list[np.ndarray] = []  # texts of the current a; several if hashes of texts collide
         for batch in batches:
-            sets = shingle_sets(batch.column(6).to_pylist(), shingle)
+            sets = shingle_sets(batch.column(6), shingle)
             out: list[list] = [[] for _ in range(9)]
             for *pair, slot, b, b_hash, many, x in zip(*(batch.column(k).to_pylist() for k in range(6)), sets, strict=True):
                 if b_hash is None:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD_HASHES, ascii_words, materialize, mix64, prepare
+from millrace.llm.common import arrow, hashed_words, materialize, mix64, prepare
 
 MIN_WORDS = 50
 GRAM = 24
@@ -43,7 +43,7 @@ def run_hashes(sums: np.ndarray, up: np.ndarray, start: np.ndarray, end: np.ndar
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    return WORD_HASHES.of(ascii_words(text, lower=False))
+    return hashed_words([text], lower=False)[1]
 
 
 def _running(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,12 +52,10 @@ def _running(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(words) * down[: len(words)], dtype=np.uint64)]), up
 
 
-def segments(texts: list[str | None], min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+def segments(texts: pa.Array | list[str | None], min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
     """Of all texts: text, place of the first window, windows, hash of the gram at the minimiser, hash
     of all words of the windows."""
-    words = [ascii_words(t, lower=False) for t in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    every = WORD_HASHES.of([w for some in words for w in some])
+    lengths, every = hashed_words(texts, lower=False)
     n = len(every)
     empty = np.empty(0, np.int64)
     if n < min_words:
@@ -80,11 +78,11 @@ def segments(texts: list[str | None], min_words: int = MIN_WORDS) -> tuple[np.nd
 def sampled_segments(docs: DataFrame, min_words: int) -> DataFrame:
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, place, count, gram, whole = segments(batch.column(1).to_pylist(), min_words)
+            owner, place, count, gram, whole = segments(batch.column(1), min_words)
             ids = batch.column(0).to_numpy(zero_copy_only=False)[owner]
             yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(ids), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(gram.view(np.int64))], names=["hash", "doc", "place", "count", "gram"])
 
-    return docs.filter("doc_id is not null").mapInArrow(sample, "hash long, doc long, place int, count int, gram long")
+    return arrow(docs.filter("doc_id is not null"), sample, "hash long, doc long, place int, count int, gram long")
 
 
 def with_least(rows: DataFrame, what: str) -> DataFrame:
@@ -112,7 +110,7 @@ def with_least(rows: DataFrame, what: str) -> DataFrame:
     order = ["hash", "doc", "place"]
     rows = materialize(rows, what)  # a sort by range reads its input twice
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", least long, edge boolean"
-    found = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(mark, schema), what)
+    found = materialize(arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), mark, schema), what)
     # at most two rows a task
     edges = found.filter("edge").groupBy("hash").agg(F.min("least").alias("_all"))
     return found.filter("not edge").join(F.broadcast(edges), "hash", "left").select(*names, F.coalesce("_all", "least").alias("least"))
@@ -144,7 +142,7 @@ def opened(text: DataFrame, parts: DataFrame, min_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(run_hashes(sums, up, at, at + min_words).view(np.int64)), pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32))], names=["hash", "doc", "place"])
 
     by_doc = parts.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("place", "count", "hash")).alias("items"))
-    return text.join(by_doc, "doc_id").mapInArrow(windows, "hash long, doc long, place int")
+    return arrow(text.join(by_doc, "doc_id"), windows, "hash long, doc long, place int")
 
 
 def _spans(text: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
@@ -163,7 +161,7 @@ def _spans(text: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.string()), pa.array(out, span)], names=["doc_id", "text", "spans"])
 
     by_doc = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("place", "count", "hash", "least")).alias("items"))
-    return text.join(by_doc, "doc_id").mapInArrow(spans, "doc_id long, text string, spans array<struct<first_word:int,end_word:int,other:bigint>>")
+    return arrow(text.join(by_doc, "doc_id"), spans, "doc_id long, text string, spans array<struct<first_word:int,end_word:int,other:bigint>>")
 
 
 def _merge(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -238,7 +236,7 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
         return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
 
-    new = repeats(docs, min_words).select("doc_id", "text", "spans").mapInArrow(cut, "_id long, _print string, _left string")
+    new = arrow(repeats(docs, min_words).select("doc_id", "text", "spans"), cut, "_id long, _print string, _left string")
     same = (docs["doc_id"].cast("long") == new["_id"]) & (F.md5(docs["text"].cast("string").cast("binary")) == new["_print"])
     rows = docs.join(new, same, "left").filter(new["_id"].isNull() | new["_left"].isNotNull())
     one = {"text": F.coalesce(new["_left"], docs["text"])} | ({"n_chars": F.when(new["_left"].isNotNull(), F.length(new["_left"]).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])} if "n_chars" in docs.columns else {})
