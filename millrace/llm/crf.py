@@ -2,9 +2,11 @@
 
 Every line of a text is content (1) or boilerplate (0).  A line has a vector of features; the chain
 has weights for features and for pairs of neighbouring labels.  The weights are fitted by maximum
-likelihood on a bounded sample of labelled documents, whose label stands for each of their lines;
-Viterbi's algorithm finds the likeliest labels of all lines of every text.  A document is kept if
-the lines marked as content hold at least ``SHARE`` of its words.
+likelihood on a bounded sample of labelled documents.  No table labels lines: the lines of a good
+document are content and those of a bad one boilerplate, and, so that the chain learns where one ends and
+the other begins, each document comes once more with a block of lines of the other kind spliced in.
+Viterbi's algorithm finds the likeliest labels of all lines of every text.  A document is kept if the lines
+marked as content hold at least ``SHARE`` of its words.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD_HASHES, ascii_words, mix64, prepare
+from millrace.llm.common import arrow, hashed_words, mix64, prepare
 
 #: Labelled documents that the weights are fitted on, at most; those with the smallest hashes of ids.
 SAMPLE = 800
-#: Characters of a document that the fit looks at; labelling reads whole texts.
-FIT_CHARS = 20_000
+#: Lines of a spliced block at most, and lines of a window of the fit: longer texts are fitted on as several
+#: windows, which hold all their lines.
+SPLICE, WINDOW = 8, 64
 SHARE = 0.5
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -66,24 +69,31 @@ def _cum(x: np.ndarray) -> np.ndarray:
 
 
 def measure(texts: list[str | None]) -> Texts:
-    """Whole texts; null is an empty text, which has one line without words."""
+    """Whole texts; null is an empty text, which has one line without words.
+
+    Takes about 30 bytes of memory for a byte of text, for one class of characters after another.
+    """
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)  # every line, and every text, ends with \n
     ends = np.flatnonzero(data == 10)
     text_ends = np.cumsum([len(r) + 1 for r in raws], dtype=np.int64)
     last_line = np.searchsorted(ends, text_ends - 1)
     lines = np.diff(np.concatenate([[-1], last_line]))
-    starts = np.concatenate([[0], ends[:-1] + 1])
     space = _IS["space"][data]
-    begins = (space == 0) & np.concatenate([[True], space[:-1] == 1])
-    of = {k: _cum(v[data]) for k, v in _IS.items() if k != "space"} | {"word": _cum(begins), "wordchar": _cum(_IS["char"][data] & (1 - space))}
-    per = {k: v[ends] - v[starts] for k, v in of.items()}
+
+    def per_line(marks: np.ndarray) -> np.ndarray:
+        return np.diff(np.cumsum(marks, dtype=np.int32)[ends], prepend=0).astype(np.int64)  # a line's end is in no class
+
+    per = {k: per_line(v[data]) for k, v in _IS.items() if k not in ("space", "char")}
+    per["wordchar"] = per_line(_IS["char"][data] & (1 - space))
+    per["word"] = per_line((space == 0) & np.concatenate([[True], space[:-1] == 1]))
+    del space
     first_line = np.concatenate([[0], last_line[:-1] + 1])
     total = {k: np.add.reduceat(v, first_line) for k, v in per.items()} if len(texts) else {k: np.empty(0, np.int64) for k in per}
 
     # windows of three words that come again within their text
     n_words = total["word"]
-    hashes = WORD_HASHES.of([w for t in texts for w in ascii_words(t, lower=False)])
+    hashes = hashed_words(texts, lower=False)[1]
     doc = np.repeat(np.arange(len(texts)), n_words)
     covered = np.zeros(len(hashes), bool)
     if len(hashes) > 2:
@@ -167,20 +177,46 @@ class Chain:
         return out
 
 
-def fit_chain(features: list[np.ndarray], labels: list[int], steps: int = 150, rate: float = 0.1, l2: float = 1e-3) -> Chain:
-    """Maximum likelihood by gradient steps (Adam); the expected counts come from forward-backward sums."""
+def spliced(features: list[np.ndarray], labels: list[int], seed: int = 1) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sequences of lines with a label each: the documents', and each once more with a block of up to
+    ``SPLICE`` lines of a document of the other kind, at any place."""
+    rng = np.random.default_rng(seed)
+    kinds = [[i for i, y in enumerate(labels) if y == c] for c in (0, 1)]
+    xs, ys = [], []
+    for f, y in zip(features, labels, strict=True):
+        xs.append(f)
+        ys.append(np.full(len(f), y))
+        others = kinds[1 - y]
+        if others:
+            donor = features[others[rng.integers(len(others))]]
+            n = int(rng.integers(1, min(SPLICE, len(donor)) + 1))
+            a, at = int(rng.integers(len(donor) - n + 1)), int(rng.integers(len(f) + 1))
+            xs.append(np.concatenate([f[:at], donor[a : a + n], f[at:]]))
+            ys.append(np.concatenate([np.full(at, y), np.full(n, 1 - y), np.full(len(f) - at, y)]))
+    return xs, ys
+
+
+def fit_chain(features: list[np.ndarray], labels: list[np.ndarray], steps: int = 150, rate: float = 0.1, l2: float = 1e-3) -> Chain:
+    """Maximum likelihood by gradient steps (Adam) on sequences of lines with a label each; the expected
+    counts come from forward-backward sums.  Both labels weigh the same in all."""
     k = features[0].shape[1] if features else len(FEATURES)
     theta = np.zeros(2 * k + 4)
-    if not features or len(set(labels)) < 2:
+    if not features or len({int(c) for y in labels for c in np.unique(y)}) < 2:
         return Chain(np.vstack([[[0.0, 1.0]], np.zeros((k - 1, 2))]), np.zeros((2, 2)))  # nothing to tell apart: all is content
-    lengths = np.array([len(f) for f in features])
+    mostly = np.array([y.mean() >= 0.5 for y in labels])
+    size = np.array([len(f) for f in features])
+    shares = np.where(mostly, 0.5 / max(size[mostly].sum(), 1), 0.5 / max(size[~mostly].sum(), 1))
+    cut = [(f[a : a + WINDOW], y[a : a + WINDOW], w) for f, y, w in zip(features, labels, shares, strict=True) for a in range(0, len(f), WINDOW)]
+    lengths = np.array([len(f) for f, _, _ in cut])
     most = int(lengths.max())
-    x = np.zeros((len(features), most, k))
-    for i, f in enumerate(features):
+    x, true = np.zeros((len(cut), most, k)), np.zeros((len(cut), most, 2))
+    for i, (f, y, _) in enumerate(cut):
         x[i, : len(f)] = f
+        true[i, np.arange(len(f)), y] = 1
     on = np.arange(most)[None] < lengths[:, None]
-    y = np.array(labels)
-    weight = np.where(y == 1, 0.5 / max((lengths * (y == 1)).sum(), 1), 0.5 / max((lengths * (y == 0)).sum(), 1))
+    weight = np.array([w for _, _, w in cut])
+    w = weight[:, None, None]
+    true_move = np.einsum("nta,ntb->ab", true[:, :-1] * w, true[:, 1:])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         emit, move = theta[: 2 * k].reshape(k, 2), theta[2 * k :].reshape(2, 2)
@@ -195,14 +231,9 @@ def fit_chain(features: list[np.ndarray], labels: list[int], steps: int = 150, r
             new = np.logaddexp.reduce(move[None] + (s[:, t + 1] + bwd[:, t + 1])[:, None, :], axis=2)
             bwd[:, t] = np.where(on[:, t + 1][:, None], new, 0)
         prob = np.exp(fwd + bwd - z[:, None, None]) * on[:, :, None]
-        true = np.eye(2)[y][:, None, :] * on[:, :, None]
-        w = weight[:, None, None]
         g_emit = np.einsum("ntk,ntc->kc", x, (true - prob) * w)
         pair = np.exp(fwd[:, :-1, :, None] + move[None, None] + (s + bwd)[:, 1:, None, :] - z[:, None, None, None]) * (on[:, 1:, None, None] * w[..., None])
-        g_move = -pair.sum(axis=(0, 1))
-        for c in (0, 1):
-            g_move[c, c] += (weight * (lengths - 1) * (y == c)).sum()
-        g = np.concatenate([g_emit.ravel(), g_move.ravel()]) - l2 * theta
+        g = np.concatenate([g_emit.ravel(), (true_move - pair.sum(axis=(0, 1))).ravel()]) - l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Chain(theta[: 2 * k].reshape(k, 2), theta[2 * k :].reshape(2, 2))
@@ -210,19 +241,35 @@ def fit_chain(features: list[np.ndarray], labels: list[int], steps: int = 150, r
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """At most ``most`` labelled documents, the ones with the smallest hashes of ids: doc_id, text,
-    quality, toxic.  The number is bounded, and so is what is broadcast."""
-    some = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality", F.coalesce("toxic", F.lit(0)).alias("toxic")).dropDuplicates(["doc_id"])
-    some = some.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(most)
-    return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    quality, toxic.
+
+    Of several labels of a document the worst counts (smallest quality, largest toxic); of several texts of
+    a doc_id, the one with the smallest hash.  Labels without doc_id or quality, and null texts, are left
+    out.  The number of rows is bounded, and so is what is broadcast.
+    """
+    some = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    some = some.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+    one = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min(F.struct(F.xxhash64("text"), F.col("text").alias("text"))).alias("_one"))
+    return one.select("doc_id", F.col("_one.text").alias("text"), "quality", "toxic")
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Chain:
-    """Fits a chain on a bounded sample of documents (doc_id, text) with labels (doc_id, quality)."""
-    rows = labelled_sample(docs, labels, most).select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text"), "quality").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.text))
-    got = measure([r.text for r in rows])
-    cuts = np.cumsum(got.lines)[:-1]
-    return fit_chain([f[:60] for f in np.split(got.features, cuts)] if rows else [], [int(r.quality > 0) for r in rows])
+    """Fits a chain on a bounded sample of documents (doc_id, text) with labels (doc_id, quality): on
+    all lines of their whole texts.  The driver gets the lines' features only."""
+    prepare(docs.sparkSession)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = measure(batch.column(1).to_pylist())
+            parts = np.split(got.features.astype(np.float32), np.cumsum(got.lines)[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in parts], pa.binary())], names=["doc_id", "quality", "x"])
+
+    sample = labelled_sample(docs, labels, most).select("doc_id", "text", F.col("quality").cast("int"))
+    rows = sorted(arrow(sample, lines, "doc_id long, quality int, x binary").collect(), key=lambda r: r.doc_id)  # bounded by the sample
+    found = [np.frombuffer(r.x, np.float32).reshape(-1, len(FEATURES)).astype(np.float64) for r in rows]
+    return fit_chain(*spliced(found, [int(r.quality > 0) for r in rows]))
 
 
 def line_labels(docs: DataFrame, chain: Chain, share: float = SHARE) -> DataFrame:
@@ -230,7 +277,9 @@ def line_labels(docs: DataFrame, chain: Chain, share: float = SHARE) -> DataFram
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_words, labels
     (a 1 or 0 for each line, in a string) and kept.
 
-    A null text counts as empty.  Too few words, or mostly repeated ones, fail the base.
+    A null text counts as empty: one line, no words.  Too few words, or mostly repeated ones, fail the
+    base.  Very long texts are read whole, each a batch of its own; rows that repeat, or have no doc_id, are
+    judged each; ties between the two labels of a line go to content.  An empty table gives no rows.
     """
     prepare(docs.sparkSession)
 
@@ -250,4 +299,4 @@ def line_labels(docs: DataFrame, chain: Chain, share: float = SHARE) -> DataFram
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_words", "labels", "kept"]
     kinds = ["long"] * 6 + ["boolean", "long", "string", "boolean"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(label, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    return arrow(rows, label, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
