@@ -2,15 +2,15 @@
 
 A linear model fitted on a bounded sample of labelled documents gives each document's evidence that
 it is good, and that it is toxic, as log odds.  Sites (hosts) and their parts (paths) have rates of
-their own: the mean evidence of their documents, shrunk toward the rate of the level above by as many
-pseudo-documents as the spread between sites suggests.  A document's posterior replaces the rate that
+their own: the mean evidence of their other documents, shrunk toward the rate of the level above by as
+many pseudo-documents as the level's own spread suggests.  A document's posterior replaces the rate that
 the model assumed by its path's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import crf
-from millrace.llm.common import materialize, prepare
+from millrace.llm.common import give_back, arrow, hot_limit, join_hot, materialize, prepare, split_words
+from millrace.llm.tokens import spread
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 8000
@@ -30,10 +31,12 @@ MIN_DOCS = 4
 ERRORS = 4.0
 #: Bytes of the beginnings of words.
 STEMS = (4, 5, 6)
-#: Bounds of the pseudo-documents of a site's prior.
+#: Bounds of the pseudo-documents of a prior.
 STRENGTH = (20.0, 1e6)
 #: Probabilities are kept this far from 0 and 1.
 EDGE = 1e-4
+#: Features that don't depend on words, and what the presence of a word is divided by.
+DENSE, PRESENT = 9, 0.3
 _MARKS = b".,;:!?\"'()[]{}*#$%&|<>-_"
 
 
@@ -44,44 +47,55 @@ class Model:
     scale: np.ndarray
     good: np.ndarray
     toxic: np.ndarray
-
-
-def word_set(text: str | None) -> set[bytes]:
-    """Distinct words, A-Z lower-cased, without marks at their ends, and, behind a ^, the beginnings of
-    longer ones: what a word grows from may tell more than the word."""
-    out: set[bytes] = set()
-    for w in set((text or "").encode("utf-8", "surrogatepass").lower().split()):
-        w = w.strip(_MARKS)
-        out.add(w)
-        for n in STEMS:
-            if len(w) > n:
-                out.add(b"^" + w[:n])
-    out.discard(b"")
-    return out
+    known: dict[bytes, tuple[int, ...]] = field(default_factory=dict)  # a worker's: what a word of a text holds
+
+    def held(self, word: bytes) -> tuple[int, ...]:
+        out = self.known.get(word)
+        if out is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            out = self.known[word] = tuple(self.words[x] for x in names(word) if x in self.words)
+        return out
+
+
+def names(word: bytes) -> list[bytes]:
+    """A word (A-Z lower-cased) without marks at its ends, and, behind a ^, its beginnings if it is
+    longer: what a word grows from may tell more than the word."""
+    w = word.strip(_MARKS)
+    return [w, *(b"^" + w[:n] for n in STEMS if len(w) > n)] if w else []
+
+
+def present(texts: pa.Array | list[str | None], held: Callable[[bytes], tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (text, number) pairs of all numbers that the words of the texts hold.  Each
+    different word of the batch is looked up once."""
+    n, words = split_words(texts)
+    of = [held(w) for w in words.dictionary.to_pylist()]
+    sizes = np.fromiter(map(len, of), np.int64, len(of))
+    flat = np.fromiter((x for t in of for x in t), np.int64, int(sizes.sum()))
+    if not len(flat):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = words.indices.to_numpy().astype(np.int64)
+    some = sizes[at] > 0
+    text, at = np.divmod(np.unique((np.repeat(np.arange(len(n)), n) * len(of) + at)[some]), len(of))
+    values, m = spread(flat, sizes, at)
+    top = int(flat.max()) + 1
+    return np.divmod(np.unique(np.repeat(text, m) * top + values), top)
 
 
 def dense(texts: list[str | None]) -> np.ndarray:
-    """Features of whole texts that don't depend on words: rows x 9."""
+    """Features of whole texts that don't depend on words: rows x ``DENSE``."""
     t = crf.measure(texts)
+    if not len(texts):
+        return np.empty((0, DENSE))
     first = np.concatenate([[0], np.cumsum(t.lines)[:-1]]).astype(np.int64)
     words = np.maximum(t.n_words, 1)[:, None]
-    per_word = np.add.reduceat(t.features[:, 1:7] * np.maximum(t.line_words, 0)[:, None], first, axis=0) / words if len(texts) else np.empty((0, 6))
+    per_word = np.add.reduceat(t.features[:, 1:7] * np.maximum(t.line_words, 0)[:, None], first, axis=0) / words
     shape = np.stack([np.minimum(np.log1p(t.n_words), 4), t.word_chars / words[:, 0] > 15, t.n_repeat_words / words[:, 0]], axis=1)
     return np.concatenate([per_word, shape], axis=1)
 
 
-def features(texts: list[str | None], words: dict[bytes, int]) -> np.ndarray:
-    out = np.zeros((len(texts), 9 + len(words)))
-    if texts:
-        out[:, :9] = dense(texts)
-    for i, t in enumerate(texts):
-        for w in word_set(t).intersection(words.keys()):
-            out[i, 9 + words[w]] = 1
-    return out
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 25) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the first column is the constant."""
+    """Ridge logistic regression by Newton steps, summed up over blocks of rows; the first column is the constant."""
     w = np.zeros(x.shape[1])
     rate = np.clip(y.mean() if len(y) else 0.5, EDGE, 1 - EDGE)
     w[0] = np.log(rate / (1 - rate))
@@ -90,9 +104,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 25) ->
     ridge = np.full(x.shape[1], l2)
     ridge[0] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (y - p) - ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        g, h = -ridge * w, np.diag(ridge)
+        for a in range(0, len(x), 1000):
+            b = x[a : a + 1000].astype(np.float64)
+            p = 1 / (1 + np.exp(-np.clip(b @ w, -30, 30)))
+            g += b.T @ (y[a : a + 1000] - p)
+            h += (b * (p * (1 - p))[:, None]).T @ b
         move = np.linalg.solve(h, g)
         w = w + move * min(1.0, 5 / max(np.abs(move).max(), 1e-12))
         if np.abs(move).max() < 1e-6:
@@ -101,20 +118,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.3, steps: int = 25) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """Fits the model on at most ``most`` documents (doc_id, text) with labels (doc_id, quality, toxic)."""
+    """Fits the model on at most ``most`` documents (doc_id, text) with labels (doc_id, quality, toxic), whole
+    texts; see ``labelled_sample`` for nulls, clashing labels and repeated ids."""
     prepare(docs.sparkSession)
     some = materialize(crf.labelled_sample(docs, labels, most).select("doc_id", "text", F.col("quality").cast("int"), F.col("toxic").cast("int")), "sample")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [sorted(word_set(t)) for t in batch.column(0).to_pylist()]
-            n = [len(s) for s in sets]
-            cols = [np.repeat(batch.column(k).to_numpy(zero_copy_only=False), n) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array([w for s in sets for w in s], pa.binary()), *map(pa.array, cols)], names=["word", "quality", "toxic"])
+            number: dict[bytes, int] = {}
+            row, at = present(batch.column(0), lambda w: tuple(number.setdefault(x, len(number)) for x in names(w)))  # noqa: B023
+            word = pa.array(number, pa.binary()).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([word, *(batch.column(k).take(pa.array(row)) for k in (1, 2))], names=["word", "quality", "toxic"])
 
-    pairs = some.select("text", "quality", "toxic").mapInArrow(split, "word binary, quality int, toxic int")
+    pairs = arrow(some.select("text", "quality", "toxic"), split, "word binary, quality int, toxic int")
     n_bad, n_toxic, n = some.agg(F.coalesce(F.sum((F.col("quality") <= 0).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0)), F.count("*")).first()
-    known = pairs.groupBy("word").agg(F.count("*").alias("n"), F.sum((F.col("quality") <= 0).cast("long")).alias("bad"), F.sum((F.col("toxic") > 0).cast("long")).alias("toxic")).filter(F.col("n") >= MIN_DOCS)
+    counted = pairs.groupBy("word").agg(F.count("*").alias("n"), F.sum((F.col("quality") <= 0).cast("long")).alias("bad"), F.sum((F.col("toxic") > 0).cast("long")).alias("toxic"))
+    known = materialize(counted.filter(F.col("n") >= MIN_DOCS), "words")
 
     def telling(hits: str, of: int) -> list[bytes]:
         """Words whose share of such documents is furthest from the sample's, in standard errors."""
@@ -123,25 +142,42 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
         return [bytes(r.word) for r in known.filter(z >= ERRORS).orderBy(z.desc(), "word").limit(WORDS).collect()]
 
     words = {w: i for i, w in enumerate(dict.fromkeys(telling("toxic", n_toxic) + telling("bad", n_bad)))}
+    model = Model(words, np.zeros(DENSE), np.ones(DENSE), np.zeros(1), np.zeros(1))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(1).to_pylist(), words).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2), batch.column(3)], names=["doc_id", "x", "quality", "toxic"])
-
-    rows = some.select("doc_id", "text", "quality", "toxic").mapInArrow(gather, "doc_id long, x binary, quality int, toxic int").collect()  # bounded by the sample
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.x))
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float64).reshape(len(rows), 9 + len(words))
-    center, scale = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-    center[9:], scale[9:] = 0, 0.3  # words are there or not
-    scale[scale < 1e-9] = 1
-    z = np.concatenate([np.ones((len(x), 1)), (x - center) / scale], axis=1)
+            bits = np.zeros((batch.num_rows, max(len(words), 1)), np.uint8)
+            bits[present(batch.column(1), model.held)] = 1
+            raw = [x.tobytes() for x in np.packbits(bits, axis=1)]
+            x = [x.tobytes() for x in dense(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), pa.array(raw, pa.binary()), batch.column(2), batch.column(3)], names=["doc_id", "x", "words", "quality", "toxic"])
+
+    # bounded by the sample, some hundred bytes a row
+    rows = sorted(arrow(some.select("doc_id", "text", "quality", "toxic"), gather, "doc_id long, x binary, words binary, quality int, toxic int").collect(), key=lambda r: r.doc_id)
+    if not rows:  # nothing is known: all is good
+        model.good, model.toxic = (np.concatenate([[c], np.zeros(DENSE + len(words))]) for c in (3.0, -3.0))
+        return model
+    x = np.stack([np.frombuffer(r.x, np.float64) for r in rows])
+    model.center, model.scale = x.mean(axis=0), x.std(axis=0)
+    model.scale[model.scale < 1e-9] = 1
+    z = np.empty((len(rows), 1 + DENSE + len(words)), np.float32)
+    z[:, 0] = 1
+    z[:, 1 : 1 + DENSE] = (x - model.center) / model.scale
+    for i, r in enumerate(rows):
+        z[i, 1 + DENSE :] = np.unpackbits(np.frombuffer(r.words, np.uint8), count=len(words)) / PRESENT
     quality, toxic = np.array([r.quality > 0 for r in rows], float), np.array([r.toxic > 0 for r in rows], float)
-    if not len(rows):  # nothing is known: all is good
-        good, bad = np.zeros(z.shape[1]), np.zeros(z.shape[1])
-        good[0], bad[0] = 3, -3
-        return Model(words, center, scale, good, bad)
-    return Model(words, center, scale, _logistic(z, quality), _logistic(z, toxic))
+    model.good, model.toxic = _logistic(z, quality), _logistic(z, toxic)
+    model.known = {}
+    del rows, x, z
+    give_back()
+    return model
+
+
+def log_odds(texts: pa.Array, model: Model) -> list[np.ndarray]:
+    """Log odds that each whole text is good, and that it is toxic."""
+    z = (dense(texts.to_pylist()) - model.center) / model.scale
+    text, word = present(texts, model.held)
+    return [w[0] + z @ w[1 : 1 + DENSE] + np.bincount(text, w[1 + DENSE :][word] / PRESENT, len(texts)) for w in (model.good, model.toxic)]
 
 
 def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataFrame:
@@ -150,12 +186,10 @@ def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataF
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(3).to_pylist(), model.words)
-            z = np.concatenate([np.ones((len(x), 1)), (x - model.center) / model.scale], axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(z @ model.good), pa.array(z @ model.toxic)], names=["doc_id", "host", "path", "good", "toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, log_odds(batch.column(3), model))], names=["doc_id", "host", "path", "good", "toxic"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, "doc_id long, host string, path string, good double, toxic double")
+    return arrow(rows, score, "doc_id long, host string, path string, good double, toxic double")
 
 
 def _sigmoid(x: Column) -> Column:
@@ -167,46 +201,74 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def _strength(within: Column, between: Column) -> Column:
+    """Pseudo-documents of a prior: variance within groups over variance between them; the most if
+    they don't differ by more than chance, or too few are there to tell."""
+    k = F.try_divide(within, F.when(between > 0, between))
+    return F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), F.coalesce(k, F.lit(STRENGTH[1]))))
+
+
 def posteriors(scored: DataFrame) -> DataFrame:
     """Adds to ``evidence`` the rates of each row's host and path and the posteriors of its document.
 
-    Null hosts are one host, and null paths one path of their host.  All sums are made by grouped
-    aggregation, so a host with a third of all rows is summed up where its rows are.
+    Each level's strength comes from the variances within and between its groups (the one-way analysis of
+    variance of credibility theory): hosts around the whole, and paths around their hosts.  A row's own
+    evidence takes no part in the rates that correct it.  Null hosts are one host, and null paths one
+    path of their host.  All sums are made by grouped aggregation, and rows of a site that has very many
+    stay where they are.
     """
-    scored = scored.withColumn("host_key", F.coalesce(F.concat(F.lit("="), "host"), F.lit("-"))).withColumn("path_key", F.coalesce(F.concat(F.lit("="), "path"), F.lit("-")))
     kinds = ("good", "toxic")
-    sums = [F.sum(_sigmoid(F.col(k))).alias(f"{k}_sum") for k in kinds]
-    paths = materialize(scored.groupBy("host_key", "path_key").agg(F.count("*").alias("n"), *sums), "paths")
-    hosts = paths.groupBy("host_key").agg(F.sum("n").alias("host_n"), *(F.sum(f"{k}_sum").alias(f"{k}_host_sum") for k in kinds))
-    every = hosts.agg(F.sum("host_n").alias("all_n"), F.count("*").alias("hosts"), *(F.sum(f"{k}_host_sum").alias(f"{k}_all") for k in kinds))
-    hosts = hosts.crossJoin(F.broadcast(every))  # one row
-    # spread between hosts beyond what their numbers of documents explain: method of moments
-    rate = {k: F.col(f"{k}_all") / F.col("all_n") for k in kinds}
-    spread = {k: F.sum(F.col("host_n") * F.pow(F.col(f"{k}_host_sum") / F.col("host_n") - rate[k], 2)) for k in kinds}
-    noise = {k: F.first(F.col("hosts") * rate[k] * (1 - rate[k])) for k in kinds}
-    within = {k: F.first(rate[k] * (1 - rate[k])) for k in kinds}
-    strength = hosts.agg(*(F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), F.coalesce(F.try_divide(within[k], F.try_divide(spread[k] - noise[k], F.sum("host_n"))), F.lit(STRENGTH[1])))).alias(f"_{k}") for k in kinds))
-    strength = strength.select(*(F.when(F.col(f"_{k}") > 0, F.col(f"_{k}")).otherwise(F.lit(STRENGTH[1])).alias(f"{k}_strength") for k in kinds))
-    hosts = hosts.crossJoin(F.broadcast(strength))  # one row
-    shrunk = lambda total, n, k, prior: (total + F.col(f"{k}_strength") * prior) / (n + F.col(f"{k}_strength"))
-    hosts = hosts.select("host_key", *(f"{k}_strength" for k in kinds), *(rate[k].alias(f"{k}_global") for k in kinds), *(shrunk(F.col(f"{k}_host_sum"), F.col("host_n"), k, rate[k]).alias(f"{k}_host") for k in kinds))
-    paths = paths.join(hosts, "host_key").select("host_key", "path_key", *(f"{k}_global" for k in kinds), *(f"{k}_host" for k in kinds), *(shrunk(F.col(f"{k}_sum"), F.col("n"), k, F.col(f"{k}_host")).alias(f"{k}_path") for k in kinds))
-    out = scored.join(paths, ["host_key", "path_key"])
-    post = {k: _sigmoid(F.col(k) - _logit(F.col(f"{k}_global")) + _logit(F.col(f"{k}_path"))) for k in kinds}
+    keys = ["host_key", "path_key"]
+    scored = scored.select("doc_id", "host", "path", *kinds, F.coalesce(F.concat(F.lit("="), "host"), F.lit("-")).alias("host_key"), F.coalesce(F.concat(F.lit("="), "path"), F.lit("-")).alias("path_key"))
+    each = [x for k in kinds for p in [_sigmoid(F.col(k))] for x in (F.sum(p).alias(f"{k}_sum"), F.sum(p * p).alias(f"{k}_squares"))]
+    paths = materialize(scored.groupBy(*keys).agg(F.count("*").alias("n"), *each), "paths")
+    n = F.col("n")
+    of_host = [x for k in kinds for x in (F.sum(f"{k}_sum").alias(f"{k}_host_sum"), F.sum(f"{k}_squares").alias(f"{k}_host_squares"), F.sum(F.pow(F.col(f"{k}_sum"), 2) / n).alias(f"{k}_path_means"))]
+    hosts = materialize(paths.groupBy("host_key").agg(F.sum("n").alias("host_n"), F.count("*").alias("paths"), F.sum(n * n).alias("path_n2"), *of_host), "hosts")
+    h = F.col("host_n")
+    of_all = [
+        x
+        for k in kinds
+        for x in (
+            F.sum(f"{k}_host_sum").alias(f"{k}_all"),
+            F.sum(f"{k}_host_squares").alias(f"{k}_squares"),
+            F.sum(f"{k}_path_means").alias(f"{k}_paths"),
+            F.sum(F.pow(F.col(f"{k}_host_sum"), 2) / h).alias(f"{k}_hosts"),
+        )
+    ]
+    every = hosts.agg(F.sum(h).alias("N"), F.count("*").alias("H"), F.sum("paths").alias("P"), F.sum(h * h).alias("host_n2"), F.sum(F.col("path_n2") / h).alias("path_n2"), *of_all)
+    c = F.col
+    strengths = []
+    for k in kinds:
+        in_paths = F.try_divide(c(f"{k}_squares") - c(f"{k}_paths"), c("N") - c("P"))
+        in_hosts = F.try_divide(c(f"{k}_squares") - c(f"{k}_hosts"), c("N") - c("H"))
+        between_paths = F.try_divide(c(f"{k}_paths") - c(f"{k}_hosts") - (c("P") - c("H")) * in_paths, c("N") - c("path_n2"))
+        between_hosts = F.try_divide(c(f"{k}_hosts") - F.pow(c(f"{k}_all"), 2) / c("N") - (c("H") - 1) * in_hosts, c("N") - c("host_n2") / c("N"))
+        strengths += [(c(f"{k}_all") / c("N")).alias(f"{k}_global"), _strength(in_hosts, between_hosts).alias(f"{k}_k_host"), _strength(in_paths, between_paths).alias(f"{k}_k_path")]
+    every = every.select(*strengths)
+    sites = paths.join(hosts.select("host_key", "host_n", *(f"{k}_host_sum" for k in kinds)), "host_key").crossJoin(F.broadcast(every))  # one row
+    sites = sites.drop(*(f"{k}_squares" for k in kinds))
+    out = join_hot(scored, sites, keys, hot_limit(scored.count()))
+    for k in kinds:
+        own = _sigmoid(c(k))
+        out = out.withColumn(f"{k}_host", (c(f"{k}_host_sum") - own + c(f"{k}_k_host") * c(f"{k}_global")) / (h - 1 + c(f"{k}_k_host")))
+        out = out.withColumn(f"{k}_path", (c(f"{k}_sum") - own + c(f"{k}_k_path") * c(f"{k}_host")) / (n - 1 + c(f"{k}_k_path")))
+    post = {k: _sigmoid(c(k) - _logit(c(f"{k}_global")) + _logit(c(f"{k}_path"))) for k in kinds}
     return out.select(
         "doc_id", "host", "path",
-        *(_sigmoid(F.col(k)).alias(f"{k}_document") for k in kinds),
-        *(F.col(f"{k}_host") for k in kinds),
-        *(F.col(f"{k}_path") for k in kinds),
+        *(_sigmoid(c(k)).alias(f"{k}_document") for k in kinds),
+        *(f"{k}_host" for k in kinds),
+        *(f"{k}_path" for k in kinds),
         *(post[k].alias(f"{k}_posterior") for k in kinds),
     )
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = SAMPLE) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text, and columns of host and path): the columns of
-    ``posteriors`` and kept: likelier good than not, and likelier not toxic.
+    """A row for each row of ``docs`` (doc_id, text, and columns of host and path; others are left alone):
+    the columns of ``posteriors`` and kept: likelier good than not, and likelier not toxic.
 
-    Without labels, all are kept.  Rows without doc_id are judged like others.
+    Without labels, all are kept.  Null and empty texts, repeated rows and rows without doc_id are judged
+    like others; very long texts are read whole, each a batch of its own.  An empty table gives no rows.
     """
     model = fit(docs, labels, most)
     scored = materialize(evidence(docs, model, F.col(host), F.col(path)), "evidence")
