@@ -106,6 +106,43 @@ def test_crf_learns_boilerplate(spark):
     assert crf.fit_chain([], []).emit[0, 1] == 1 and crf.line_labels(df.limit(0), chain).count() == 0
 
 
+def test_crf_marks_blocks_within_texts(spark):
+    """Lines of junk inside clean texts, and clean lines inside junk, are told apart line by line."""
+    rng = random.Random(15)
+    junk = lambda: " ".join(w + rng.choice(["$$$", "%%", "###"]) for w in prose(rng, 12).split())
+    clean = lambda: prose(rng, 15)
+    rows = [(i, "\n".join((clean if i % 2 else junk)() for _ in range(rng.randint(4, 90))), i % 2, 0) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    chain = crf.fit_on_labels(df, df.select("doc_id", "quality", "toxic"))
+    mixed, want = [], {}
+    for i in range(60):
+        marks = [1] * rng.randint(0, 9) + [0] * 4 + [1] * rng.randint(5, 9)
+        mixed.append((i, "\n".join((clean if m else junk)() for m in marks)))
+        want[i] = "".join(map(str, marks))
+    got = {r.doc_id: (r.labels, r.kept) for r in crf.line_labels(spark.createDataFrame(mixed, "doc_id long, text string"), chain).collect()}
+    assert sum(a == b for i in want for a, b in zip(got[i][0], want[i], strict=True)) >= 0.98 * sum(map(len, want.values()))
+    assert all(got[i][1] for i in want if want[i].count("1") >= 10)
+
+
+def test_long_texts_are_measured_in_bounded_memory():
+    import tracemalloc
+
+    text = "a few words and more\n" * 150_000  # 3 MB
+    tracemalloc.start()
+    got = crf.measure([text, None, ""])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.n_words.tolist() == [750_000, 0, 0] and got.lines.tolist() == [150_001, 1, 1] and got.n_dup_lines[0] == 149_999
+    assert peak < 60 * len(text)
+
+
+def test_labels_that_clash_and_ids_that_repeat(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "c"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, None), (1, 0, 1), (2, 1, 0), (3, 1, 0), (3, 1, 0), (None, 1, 0), (4, None, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: (r.quality, r.toxic) for r in crf.labelled_sample(docs, labels, 10).collect()}
+    assert got == {1: (0, 1), 3: (1, 0)} and crf.labelled_sample(docs, labels, 10).count() == 2
+
+
 # 2 and 7
 
 
@@ -357,6 +394,37 @@ def test_archives(spark):
     assert warc.archived(spark, pages.limit(0)).count() == 0
 
 
+def test_record_ids_are_unique_and_dates_real(tmp_path, spark):
+    from datetime import datetime, timezone
+
+    rows = [(i, f"u{i}", "z" * 1500) for i in (1, 2, 3, 3, 3)] + [(None, None, "z" * 1500)] * 3 + [(None, None, None)] * 2 + [(4, "a b", "y"), (4, "a b", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    files = warc.write_archives(pages, str(tmp_path / "w"), date=datetime(2024, 5, 6, 7, 8, 9, tzinfo=timezone.utc)).collect()
+    found = []
+    for r in files:
+        with open(tmp_path / "w" / r.file, "rb") as f:
+            found += [fields for raw in warc.members(f) for fields, _ in warc.parse(raw)]
+    ids = {x["WARC-Record-ID"]: x for x in found}
+    assert len(ids) == len(found) == len(rows) and {x["WARC-Date"] for x in found} == {"2024-05-06T07:08:09Z"}
+    revisits = [x for x in found if x["WARC-Type"] == "revisit"]
+    assert sorted(x["X-Page-Id"] for x in revisits) == ["1", "2"]
+    for x in revisits:
+        to = ids[x["WARC-Refers-To"]]
+        assert to["WARC-Type"] == "response" and to["X-Page-Id"] == "3" == x["X-Refers-To-Page-Id"] and x["WARC-Refers-To-Date"] == to["WARC-Date"]
+
+
+def test_payloads_are_not_shuffled(spark):
+    import re as r
+
+    pages = spark.createDataFrame([(i, "u", "z" * 2000) for i in range(20)], "page_id long, url string, html string").repartition(3)
+    from millrace.llm.common import fresh_path
+
+    heads = warc.stored(pages, fresh_path(spark, "test"))
+    assert "html" not in heads.columns and heads.agg({"size": "max"}).first()[0] < 200
+    plan = warc.headers(heads)._jdf.queryExecution().toString()
+    assert not r.search("html", plan)
+
+
 def test_archive_members_are_records(tmp_path, spark):
     pages = spark.createDataFrame([(i, f"u{i}", "z" * (1000 + i % 2)) for i in range(10)], "page_id long, url string, html string").coalesce(1)
     files = warc.write_archives(pages, str(tmp_path / "w")).collect()
@@ -537,6 +605,49 @@ def test_classifier_and_its_sites(spark):
     assert bayes.classify(df.limit(0), lab).count() == 0
 
 
+def plain_posteriors(rows):
+    """The same in loops over rows (doc_id, host, path, good)."""
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    logit = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    p = [sig(r[3]) for r in rows]
+    every = range(len(rows))
+
+    def groups(key):
+        out = defaultdict(list)
+        for i in every:
+            out[key(rows[i])].append(i)
+        return out
+
+    mean = lambda some: sum(p[i] for i in some) / len(some)
+    hosts, paths = groups(lambda r: r[1]), groups(lambda r: r[1:3])
+    n, top = len(rows), mean(list(every))
+    strength = lambda within, between: min(max(within / between, 20), 1e6) if between > 0 else 1e6
+    in_hosts = sum((p[i] - mean(h)) ** 2 for h in hosts.values() for i in h) / (n - len(hosts))
+    in_paths = sum((p[i] - mean(h)) ** 2 for h in paths.values() for i in h) / (n - len(paths))
+    between_hosts = (sum(len(h) * (mean(h) - top) ** 2 for h in hosts.values()) - (len(hosts) - 1) * in_hosts) / (n - sum(len(h) ** 2 for h in hosts.values()) / n)
+    between_paths = (sum(len(g) * (mean(g) - mean(hosts[k[0]])) ** 2 for k, g in paths.items()) - (len(paths) - len(hosts)) * in_paths) / (n - sum(len(g) ** 2 / len(hosts[k[0]]) for k, g in paths.items()))
+    k_host, k_path = strength(in_hosts, between_hosts), strength(in_paths, between_paths)
+    out = []
+    for i in every:
+        h, g = hosts[rows[i][1]], paths[rows[i][1:3]]
+        host = (sum(p[j] for j in h if j != i) + k_host * top) / (len(h) - 1 + k_host)
+        path = (sum(p[j] for j in g if j != i) + k_path * host) / (len(g) - 1 + k_path)
+        out.append((rows[i][0], host, path, sig(rows[i][3] - logit(top) + logit(path))))
+    return sorted(out)
+
+
+def test_posteriors_equal_a_plain_version(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(600):
+        host = rng.choice(["a", "b", "b", "c", "d", None])
+        path = rng.choice(["x", "y", None])
+        rows.append((i, host, path, rng.gauss({"a": 2, "b": 0, "c": -2, "d": 1, None: 0}[host] + {"x": 1, "y": -1, None: 0}[path], 1), rng.gauss(-3, 1)))
+    rows += [(1000, "lone", "z", 0.5, -3.0), (1001, "lone", "q", -0.5, -3.0)]
+    got = sorted((r.doc_id, r.good_host, r.good_path, r.good_posterior) for r in bayes.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, good double, toxic double").repartition(5)).collect())
+    np.testing.assert_allclose(got, plain_posteriors([r[:4] for r in rows]), rtol=1e-8)
+
+
 def test_sparse_sites_shrink_to_the_level_above(spark):
     rows = [(i, "big", "p", 3.0 if i % 2 else -3.0, -5.0) for i in range(400)] + [(1000, "tiny", "q", -3.0, -5.0)] + [(2000 + i, "bad", "r", -3.0, -5.0) for i in range(400)]
     got = {(r.host, r.path): r for r in bayes.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, good double, toxic double")).collect()}
