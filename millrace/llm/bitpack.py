@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens
-from millrace.llm.common import fresh_path, materialize, prepare
+from millrace.llm.common import arrow, fresh_path, materialize, prepare
 
 MAGIC = b"MRBITS01"
 BLOCK = 1 << 16
@@ -164,7 +164,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str | None = None, files
             store.move(temp, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"file": [name], "part": [part], "n_docs": [len(writer.doc_ids)], "n_tokens": [writer.total]})
 
-    manifest = materialize(rows.mapInArrow(encode, "file string, part long, n_docs long, n_tokens long"), "manifest")
+    manifest = materialize(arrow(rows, encode, "file string, part long, n_docs long, n_tokens long"), "manifest")
     # one row a file; the running sum over files is what places each in the corpus
     found, first = [], 0
     for r in manifest.orderBy("part").collect():
@@ -197,7 +197,7 @@ def read_packed(spark: SparkSession, path: str, manifest: DataFrame) -> DataFram
 
     files = manifest.select("file", "first")
     n = max(1, files.count())
-    return files.repartition(n, "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return arrow(files.repartition(n, "file"), read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def crc32_of(ids: np.ndarray) -> int:

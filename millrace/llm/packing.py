@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens
-from millrace.llm.common import materialize, prepare
+from millrace.llm.common import arrow, materialize, prepare
 
 CAPACITY = 2048
 END_ID = 0
+#: Slots of a plan that are broadcast; a plan of pieces of up to 2048 tokens has some ten thousands, whatever the corpus.
+SLOTS = 200_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -103,7 +105,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return arrow(rows, cut, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece", "start")) -> DataFrame:
@@ -124,9 +126,10 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str,
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy("length", "_part").orderBy(*(F.col(c).asc_nulls_last() for c in order))
-    ranked = rows.withColumn("_rank", F.row_number().over(within) - 1).join(base, ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
+    # the window has dealt the rows out by these columns already; what grows with the tasks isn't broadcast
+    ranked = rows.withColumn("_rank", F.row_number().over(within) - 1).join(base.hint("merge"), ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     # the plan has rows by length and run of sequences, not by piece
-    placed = ranked.join(F.broadcast(plan), (F.col("length") == F.col("_len")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_lo") + F.col("_ranks")))
+    placed = ranked.join(F.broadcast(plan) if len(slots) <= SLOTS else plan, (F.col("length") == F.col("_len")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_lo") + F.col("_ranks")))
     return placed.withColumn("sequence_id", F.col("_seq") + F.col("_rank") - F.col("_lo")).drop("_part", "_base", "_rank", "_len", "_lo", "_ranks", "_seq")
 
 
