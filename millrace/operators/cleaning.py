@@ -64,7 +64,7 @@ def _ranked(df: DataFrame, keys: list[str], keep: str, order_by: list[str]) -> D
 # nulls
 
 
-def handle_nulls(df: DataFrame, strategy: str, fill_value: Any = None, columns: list[str] | None = None, order_by: list[str] | None = None, partition_by: list[str] | None = None) -> DataFrame:
+def handle_nulls(df: DataFrame, strategy: str, fill_value: Any = None, columns: list[str] | None = None, order_by: list[str] | None = None, partition_by: list[str] | None = None, approx: bool = False) -> DataFrame:
     """drop, fill_default, fill_mean, fill_median, fill_mode, fill_forward, fill_backward, interpolate or
     keep.  The last three but keep need an order; give ``partition_by`` too, as without it all rows are
     ordered by one task."""
@@ -75,7 +75,7 @@ def handle_nulls(df: DataFrame, strategy: str, fill_value: Any = None, columns:
         return df.dropna("any", subset=names)
     if strategy == "fill_default":
         return df.withColumns({c: F.coalesce(c, F.lit(fill_value).cast(df.schema[c].dataType)) for c in names})
-    stats = {"fill_mean": F.avg, "fill_median": F.median, "fill_mode": lambda c: F.mode(c, True)}
+    stats = {"fill_mean": F.avg, "fill_median": lambda c: _quantile(c, 0.5, approx), "fill_mode": lambda c: F.mode(c, True)}
     if strategy in stats:
         names = names if strategy == "fill_mode" else _numeric(df, names)
         out = _with_stats(df, {f"_s_{c}": stats[strategy](c) for c in names})
@@ -110,11 +110,17 @@ def null_counts(df: DataFrame) -> DataFrame:
 # outliers
 
 
-def _bounds(df: DataFrame, columns: list[str], method: str, threshold: float) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
+def _quantile(c: Column | str, p: float, approx: bool) -> Column:
+    """Exact (interpolated; holds a count for each distinct value in one task), or, for large tables, within
+    a ten-thousandth of the rank in bounded memory."""
+    return F.percentile_approx(F.col(c).cast("double") if isinstance(c, str) else c, p, 10_000) if approx else F.percentile(c, p)
+
+
+def _bounds(df: DataFrame, columns: list[str], method: str, threshold: float, approx: bool = False) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
     """The table with statistics, and the lowest and highest usual value of each column."""
     low_high: dict[str, tuple[Column, Column]] = {}
     if method == "iqr":
-        df = _with_stats(df, {f"_q{k}_{c}": F.percentile(c, k / 4) for c in columns for k in (1, 3)})
+        df = _with_stats(df, {f"_q{k}_{c}": _quantile(c, k / 4, approx) for c in columns for k in (1, 3)})
         for c in columns:
             q1, q3 = F.col(f"_q1_{c}"), F.col(f"_q3_{c}")
             low_high[c] = (q1 - threshold * (q3 - q1), q3 + threshold * (q3 - q1))
@@ -123,13 +129,13 @@ def _bounds(df: DataFrame, columns: list[str], method: str, threshold: float) ->
         for c in columns:
             low_high[c] = (F.col(f"_m_{c}") - threshold * F.col(f"_d_{c}"), F.col(f"_m_{c}") + threshold * F.col(f"_d_{c}"))
     elif method == "modified_zscore":
-        df = _with_stats(df, {f"_m_{c}": F.median(c) for c in columns})
-        df = _with_stats(df, {f"_d_{c}": F.median(F.abs(F.col(c) - F.col(f"_m_{c}"))) for c in columns})
+        df = _with_stats(df, {f"_m_{c}": _quantile(c, 0.5, approx) for c in columns})
+        df = _with_stats(df, {f"_d_{c}": _quantile(F.abs(F.col(c) - F.col(f"_m_{c}")), 0.5, approx) for c in columns})
         for c in columns:
             reach = F.nullif(F.col(f"_d_{c}"), F.lit(0)) * threshold / 0.6745
             low_high[c] = (F.col(f"_m_{c}") - reach, F.col(f"_m_{c}") + reach)
     elif method == "percentile":
-        df = _with_stats(df, {f"_l_{c}": F.percentile(c, threshold / 100) for c in columns} | {f"_h_{c}": F.percentile(c, 1 - threshold / 100) for c in columns})
+        df = _with_stats(df, {f"_l_{c}": _quantile(c, threshold / 100, approx) for c in columns} | {f"_h_{c}": _quantile(c, 1 - threshold / 100, approx) for c in columns})
         for c in columns:
             low_high[c] = (F.col(f"_l_{c}"), F.col(f"_h_{c}"))
     else:
@@ -137,21 +143,21 @@ def _bounds(df: DataFrame, columns: list[str], method: str, threshold: float) ->
     return df, low_high
 
 
-def detect_outliers(df: DataFrame, method: str = "iqr", threshold: float = 1.5, columns: list[str] | None = None) -> DataFrame:
-    """Adds ``<column>_is_outlier`` for each number column."""
+def detect_outliers(df: DataFrame, method: str = "iqr", threshold: float = 1.5, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
+    """Adds ``<column>_is_outlier`` for each number column; ``approx``: see ``_quantile``."""
     names = _numeric(df, columns)
-    out, bounds = _bounds(df, names, method, threshold)
+    out, bounds = _bounds(df, names, method, threshold, approx)
     flags = {f"{c}_is_outlier": F.coalesce((F.col(c) < lo) | (F.col(c) > hi), F.lit(False)) for c, (lo, hi) in bounds.items()}
     return out.withColumns(flags).select(*df.columns, *flags)
 
 
-def handle_outliers(df: DataFrame, method: str = "iqr", action: str = "cap", threshold: float = 1.5, columns: list[str] | None = None) -> DataFrame:
+def handle_outliers(df: DataFrame, method: str = "iqr", action: str = "cap", threshold: float = 1.5, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """drop, cap (both ends), floor (lower end), mean_replace, median_replace or flag; bounds are the
     method's."""
     if action == "flag":
-        return detect_outliers(df, method, threshold, columns)
+        return detect_outliers(df, method, threshold, columns, approx)
     names = _numeric(df, columns)
-    out, bounds = _bounds(df, names, method, threshold)
+    out, bounds = _bounds(df, names, method, threshold, approx)
     odd = {c: F.coalesce((F.col(c) < lo) | (F.col(c) > hi), F.lit(False)) for c, (lo, hi) in bounds.items()}
     if action == "drop":
         for c in names:
@@ -162,7 +168,7 @@ def handle_outliers(df: DataFrame, method: str = "iqr", action: str = "cap", thr
     elif action == "floor":
         new = {c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c).cast("double"), lo)) for c, (lo, _) in bounds.items()}
     elif action in ("mean_replace", "median_replace"):
-        stat = F.avg if action == "mean_replace" else F.median
+        stat = F.avg if action == "mean_replace" else lambda c: _quantile(c, 0.5, approx)
         mean = df.agg(*(stat(c).alias(f"_r_{c}") for c in names))
         out = out.crossJoin(F.broadcast(mean))  # one row
         new = {c: F.when(odd[c], F.col(f"_r_{c}")).otherwise(F.col(c).cast("double")) for c in names}
@@ -190,12 +196,12 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in kind.items() if t})
 
 
-def standardize_columns(df: DataFrame, columns: list[str], method: str = "zscore") -> DataFrame:
+def standardize_columns(df: DataFrame, columns: list[str], method: str = "zscore", approx: bool = False) -> DataFrame:
     """zscore (sample deviation), minmax or robust (median and quartiles); null where there is no spread."""
     parts = {
         "zscore": lambda c: (F.avg(c), F.stddev_samp(c)),
         "minmax": lambda c: (F.min(c).cast("double"), (F.max(c) - F.min(c)).cast("double")),
-        "robust": lambda c: (F.median(c), F.percentile(c, 0.75) - F.percentile(c, 0.25)),
+        "robust": lambda c: (_quantile(c, 0.5, approx), _quantile(c, 0.75, approx) - _quantile(c, 0.25, approx)),
     }[method]
     out = _with_stats(df, {f"_{k}_{c}": s for c in columns for k, s in zip("ab", parts(c), strict=True)})
     new = {c: F.try_divide(F.col(c) - F.col(f"_a_{c}"), F.col(f"_b_{c}")) for c in columns}
@@ -279,13 +285,21 @@ def clean_data(config: CleaningConfig | None = None) -> Callable:
     return wrap
 
 
-def cleaning_report(before: DataFrame, after: DataFrame) -> dict[str, int]:
-    """Rows before and after, and nulls filled; one aggregation each."""
+def cleaning_report(before: DataFrame, after: DataFrame) -> dict[str, Any]:
+    """Rows and nulls before and after, rows removed, and columns that changed their type; one aggregation each."""
     a, b = (d.agg(F.count("*").alias("rows"), *(F.count_if(F.col(c).isNull()).alias(c) for c in d.columns)).first().asDict() for d in (before, after))
-    return {"original_count": a["rows"], "final_count": b["rows"], "nulls_before": sum(v for k, v in a.items() if k != "rows"), "nulls_after": sum(v for k, v in b.items() if k != "rows")}
+    return {"original_count": a["rows"], "final_count": b["rows"], "nulls_before": sum(v for k, v in a.items() if k != "rows"), "nulls_after": sum(v for k, v in b.items() if k != "rows"), "rows_removed": a["rows"] - b["rows"], "types_changed": sorted(c for c, t in after.dtypes if dict(before.dtypes).get(c, t) != t)}
 
 
 def data_profile(df: DataFrame) -> dict[str, Any]:
     row = df.agg(F.count("*").alias("_n"), *(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns)).first().asDict()
     distinct = df.distinct().count()
     return {"rows": row.pop("_n"), "columns": df.columns, "types": dict(df.dtypes), "nulls": row, "duplicate_rows": df.count() - distinct}
+
+
+def drop_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    return handle_nulls(df, "drop", columns=columns)
+
+
+def fill_nulls(df: DataFrame, value: Any, columns: list[str] | None = None) -> DataFrame:
+    return handle_nulls(df, "fill_default", value, columns)

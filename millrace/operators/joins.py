@@ -45,9 +45,11 @@ def missing_references(source: DataFrame, column: str, target: DataFrame, target
 
 def upsert(existing: DataFrame, new: DataFrame, key: str, order_by: str | None = None) -> DataFrame:
     """Rows of ``new`` replace those of ``existing`` with their key; the last of a key by ``order_by``
-    counts.  Rows without the key are always kept."""
+    counts, or, without one, the last in the order in which ``new`` holds its rows (of files: by file and place).
+    Rows without the key are always kept."""
     keyed = new.filter(F.col(key).isNotNull())
     row = F.struct(*new.columns)
-    last = keyed.groupBy(F.col(key).alias("_key")).agg((F.max_by(row, F.col(order_by)) if order_by else F.max(row)).alias("_row")).select("_row.*")
+    place = F.col(order_by) if order_by else F.monotonically_increasing_id()
+    last = keyed.select(F.col(key).alias("_key"), row.alias("_new"), place.alias("_place")).groupBy("_key").agg(F.max_by("_new", "_place").alias("_row")).select("_row.*")
     old = existing.join(last.select(F.col(key)), key, "left_anti").select(*existing.columns)  # a null key matches nothing, so it stays
     return old.unionByName(last, allowMissingColumns=True).unionByName(new.filter(F.col(key).isNull()), allowMissingColumns=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import tomllib
+import warnings
 from pathlib import Path
 from typing import Any
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from millrace.operators import aggregates, joins, rows
 from millrace.plans.graph import Asset, Context, Graph
 from millrace.plans.rules import checks_of
-from millrace.quality.checks import Suite, SuiteResult
+from millrace.quality.checks import Suite, SuiteResult, ValidationError, split_valid
 from millrace.sources.files import read_file, write_file
 
 _AGG = {"sum": aggregates.Sum, "count": aggregates.Count, "avg": aggregates.Avg, "min": aggregates.Min, "max": aggregates.Max, "count_distinct": aggregates.CountDistinct}
@@ -33,6 +34,25 @@ def load(path: str | Path, variables: dict[str, str] | None = None) -> dict[str,
     return tomllib.loads(text) if str(path).endswith(".toml") else json.loads(text)
 
 
+def _validated(df: DataFrame, spec: dict[str, Any]) -> DataFrame:
+    """The table, if its ``rules`` hold and its rows keep the ``constraints``; else ``on_failure``: fail, warn or
+    drop (rows that break a constraint)."""
+    wrong = []
+    if spec.get("rules"):
+        wrong += [f"{r.name}: {r.message}" for r in Suite("validate", checks_of(spec["rules"])).run(df).failures if r.severity == "error"]
+    constraints, what = spec.get("constraints", {}), spec.get("on_failure", "fail")
+    if constraints and what == "drop":
+        df = split_valid(df, constraints)[0]
+    elif constraints:
+        bad = split_valid(df, constraints)[1].count()
+        wrong += [f"{bad} rows break a constraint"] if bad else []
+    if wrong and what == "warn":
+        warnings.warn("; ".join(wrong), stacklevel=2)
+    elif wrong:
+        raise ValidationError("; ".join(wrong))
+    return df
+
+
 def step(df: DataFrame, spec: dict[str, Any], tables: dict[str, DataFrame]) -> DataFrame:
     """One step of an asset.  Conditions and values are SQL expressions; an unknown kind is an error."""
     kind = spec.get("type")
@@ -63,7 +83,7 @@ def step(df: DataFrame, spec: dict[str, Any], tables: dict[str, DataFrame]) -> D
             on = spec["on"]
             return joins.join(df, tables[spec["with"]], tuple(on) if spec.get("pair") else on, spec.get("how", "inner"))
         case "validate":
-            return df
+            return _validated(df, spec)
     raise ValueError(f"unknown step {kind!r}")
 
 

@@ -46,9 +46,11 @@ class ResultCache:
         return out
 
     def invalidate(self, prefix: str = "") -> int:
+        """Forgets results, and removes their tables."""
         gone = [k for k in self.made if k.startswith(prefix)]
         for k in gone:
             del self.made[k]
+            self.store.remove(k)
         return len(gone)
 
 

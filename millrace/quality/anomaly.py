@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ranges import running_sums
+
 
 def zscores(df: DataFrame, column: str, threshold: float = 3.0, modified: bool = False) -> DataFrame:
     """Adds score and is_anomaly.  Modified: by the median and 1.4826 times the median deviation.  A spread
@@ -23,12 +25,11 @@ def zscores(df: DataFrame, column: str, threshold: float = 3.0, modified: bool =
 def exclusive_quartiles(df: DataFrame, column: str) -> DataFrame:
     """One row: q1 and q3 at places k (n + 1) / 4 of the sorted values, linear between; null below 4 values.
 
-    Values are first counted, so that ranks come from running sums over distinct values.
+    Values are first counted, so that ranks come from running sums over distinct values, by ranges.
     """
     x = F.col(column).cast("double").alias("v")
     counts = df.select(x).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(F.lit(0)).orderBy("v")
-    placed = counts.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
+    placed = running_sums(counts, "v", ["n"]).withColumnRenamed("n_upto", "upto").crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))
 
     def at(k: int) -> tuple[Column, Column, Column]:
         p = (F.col("total") + 1) * k / 4
@@ -69,16 +70,78 @@ def baseline_shift(df: DataFrame, baseline: DataFrame, column: str) -> DataFrame
     return a.crossJoin(F.broadcast(b)).withColumn("drift", F.least(F.try_divide(F.abs(F.col("mean") - F.col("base_mean")), F.col("base_std")) / 5, F.lit(1.0)))
 
 
-def multi_method(df: DataFrame, column: str, methods: tuple[str, ...] = ("zscore", "iqr")) -> DataFrame:
-    """One row: anomalies by method."""
-    make = {"zscore": lambda: zscores(df, column), "modified_zscore": lambda: zscores(df, column, 3.5, True), "iqr": lambda: iqr_outliers(df, column)}
-    parts = [make[m]().agg(F.lit(m).alias("method"), F.count_if("is_anomaly").alias("anomalies"), F.count("*").alias("total")) for m in methods]
+def _method(df: DataFrame, column: str, method: str, contamination: float, nu: float) -> DataFrame:
+    make = {
+        "zscore": lambda: zscores(df, column),
+        "modified_zscore": lambda: zscores(df, column, 3.5, True),
+        "iqr": lambda: iqr_outliers(df, column),
+        "isolation_forest": lambda: isolation_outliers(df, [column], contamination),
+        "one_class_svm": lambda: kernel_outliers(df, column, nu),
+    }
+    return make[method]()
+
+
+def vote(df: DataFrame, column: str, methods: tuple[str, ...] = ("zscore", "iqr"), least: int = 2, contamination: float = 0.1, nu: float = 0.1) -> DataFrame:
+    """Adds votes, the number of methods that find the row anomalous, and is_anomaly: at least ``least`` do."""
+    votes, out = F.lit(0), df
+    for m in methods:
+        out = _method(out, column, m, contamination, nu).withColumnRenamed("is_anomaly", f"_by_{m}").drop("score")
+        votes = votes + F.col(f"_by_{m}").cast("int")
+    return out.withColumn("votes", votes).withColumn("is_anomaly", F.col("votes") >= least).drop(*(f"_by_{m}" for m in methods))
+
+
+def multi_method(df: DataFrame, column: str, methods: tuple[str, ...] = ("zscore", "iqr"), contamination: float = 0.1, nu: float = 0.1) -> DataFrame:
+    """A row a method: anomalies and rows."""
+    parts = [_method(df, column, m, contamination, nu).agg(F.lit(m).alias("method"), F.count_if("is_anomaly").alias("anomalies"), F.count("*").alias("total")) for m in methods]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
     return out
 
 
+def isolation_outliers(df: DataFrame, columns: list[str], contamination: float = 0.1, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """Adds score and is_anomaly: the ``contamination`` share of rows with the highest isolation scores, within
+    a thousandth of it."""
+    scored = isolation_scores(df, columns, trees, sample, seed)
+    cut = scored.agg(F.percentile_approx("score", 1 - contamination, 1000).alias("_cut"))
+    return scored.crossJoin(F.broadcast(cut)).withColumn("is_anomaly", F.coalesce(F.col("score") > F.col("_cut"), F.lit(False))).drop("_cut")
+
+
+def kernel_outliers(df: DataFrame, column: str, nu: float = 0.1, sample: int = 2000) -> DataFrame:
+    """Adds score and is_anomaly by a one-class kernel machine with a Gaussian kernel of a column.
+
+    Its centre is fitted on a bounded sample, the rows with the smallest hashes: the weights that minimise the norm of
+    their mean in the kernel's space, none above 1 / (nu * sample).  A row's score is the kernel's mean
+    over these weights; rows that score below the ``nu`` quantile of the sample are anomalies.
+    """
+    import numpy as np
+
+    x = F.col(column).cast("double")
+    rows = df.filter(x.isNotNull() & ~F.isnan(x)).select(x.alias("v")).orderBy(F.xxhash64("v"), "v").limit(sample).collect()
+    v = np.array([r.v for r in rows], float)
+    if len(v) < 2:
+        return df.withColumn("score", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(False))
+    gamma = 1 / max(float(v.var()), 1e-12)
+    most = 1 / (nu * len(v))
+    w = np.full(len(v), 1 / len(v))
+    k = np.exp(-gamma * (v[:, None] - v[None]) ** 2)
+    for step in range(200):  # projected gradient steps on the capped simplex
+        w = w - (k @ w) / (np.sqrt(step + 1) * len(v))
+        low, high = w.min() - most, w.max()
+        for _ in range(60):
+            shift = (low + high) / 2
+            low, high = (shift, high) if np.clip(w - shift, 0, most).sum() > 1 else (low, shift)
+        w = np.clip(w - (low + high) / 2, 0, most)
+    edge = float(np.quantile(k @ w, nu))
+    bins = np.round((v - v.min()) / max(float(np.ptp(v)), 1e-12) * 200).astype(int)  # points of the centre that lie close are one
+    weights = np.bincount(bins, w)
+    points = np.bincount(bins, w * v) / np.maximum(weights, 1e-300)
+    centre = F.array(*(F.struct(F.lit(float(points[i])).alias("v"), F.lit(float(weights[i])).alias("w")) for i in np.flatnonzero(weights > 1e-9)))
+    score = F.aggregate(centre, F.lit(0.0), lambda t, c: t + c["w"] * F.exp(-gamma * F.pow(x - c["v"], 2)))
+    out = df.withColumn("score", F.when(x.isNotNull(), score))
+    return out.withColumn("is_anomaly", F.coalesce(F.col("score") < edge - 1e-6, F.lit(False)))
+
+
 def isolation_scores(df: DataFrame, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """Adds score: an isolation forest's, near 1 for rows that few random cuts set apart.
 

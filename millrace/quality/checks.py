@@ -95,9 +95,13 @@ def values_between(c: str, low: Any, high: Any) -> Check:
 
 
 def values_in_set(c: str, values: list) -> Check:
-    odd = ~F.col(c).isin(list(values))
-    some = F.slice(F.sort_array(F.collect_set(F.when(odd, F.col(c).cast("string")))), 1, 10)
-    return Check(f"{c}: in set", {"failed": F.count_if(odd), "some": some}, lambda v: (v["failed"] == 0, v["failed"], f"unexpected: {v['some']}"))
+    def odd(df: DataFrame) -> DataFrame:
+        """One row: rows with other values, and the first ten of these."""
+        counts = df.filter(~F.col(c).isin(list(values))).groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
+        some = counts.orderBy("v").limit(10).agg(F.sort_array(F.collect_list("v")).alias("some"))
+        return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failed")).crossJoin(F.broadcast(some))
+
+    return Check(f"{c}: in set", {}, lambda v: (v["failed"] == 0, v["failed"], f"unexpected: {v['some']}"), odd)
 
 
 def values_not_in_set(c: str, values: list) -> Check:
@@ -187,6 +191,23 @@ def row_count_equals(n: int) -> Check:
     return row_count_between(n, n)
 
 
+def no_anomalies_iqr(c: str, multiplier: float = 1.5, most: int = 0) -> Check:
+    from millrace.quality.anomaly import iqr_outliers
+
+    return Check(f"{c}: no outliers by quartiles", {"failed": F.count_if("is_anomaly")}, lambda v: (v["failed"] <= most, v["failed"], f"{v['failed']} outliers"), lambda df: iqr_outliers(df.select(c), c, multiplier))
+
+
+def no_anomalies_isolation(c: str, contamination: float = 0.1, most: int = 0, seed: int = 42) -> Check:
+    from millrace.quality.anomaly import isolation_outliers
+
+    return Check(f"{c}: no outliers by isolation", {"failed": F.count_if("is_anomaly")}, lambda v: (v["failed"] <= most, v["failed"], f"{v['failed']} outliers"), lambda df: isolation_outliers(df.select(c), [c], contamination, seed=seed))
+
+
+def record_filter(passes: Column, message: str = "filter failed") -> Check:
+    """Rows for which the condition isn't true fail."""
+    return Check(message, {"failed": F.count_if(~F.coalesce(passes, F.lit(False)))}, lambda v: (v["failed"] == 0, v["failed"], message))
+
+
 def no_anomalies_zscore(c: str, threshold: float = 3.0, most: int = 0) -> Check:
     def scored(df: DataFrame) -> DataFrame:
         return df.select(F.col(c).alias("_v")).crossJoin(F.broadcast(df.agg(F.avg(c).alias("_m"), F.stddev_samp(c).alias("_s"))))
@@ -309,8 +330,10 @@ def record_errors(df: DataFrame, constraints: dict[str, dict[str, Any]]) -> Colu
     return F.filter(F.array(*errors), lambda e: e.isNotNull()) if errors else F.array().cast("array<string>")
 
 
-def validate_records(df: DataFrame, constraints: dict[str, dict[str, Any]]) -> DataFrame:
-    """Adds errors (array) and is_valid."""
+def validate_records(df: DataFrame, constraints: dict[str, dict[str, Any]], strict: bool = False) -> DataFrame:
+    """Adds errors (array) and is_valid.  Strict: columns without constraints are an error."""
+    if strict and (more := [c for c in df.columns if c not in constraints]):
+        raise ValidationError(f"undeclared columns: {', '.join(more)}")
     return df.withColumn("errors", record_errors(df, constraints)).withColumn("is_valid", F.size("errors") == 0)
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ranges import running_sums
+
 
 def ks_statistic(baseline: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """One row: the largest gap between the two cumulative distributions, and both sizes.
@@ -16,16 +18,10 @@ def ks_statistic(baseline: DataFrame, current: DataFrame, column: str) -> DataFr
     """
     tag = lambda df, k: df.select(F.col(column).cast("double").alias("v"), F.lit(k).alias("k")).filter("v is not null")
     values = tag(baseline, 0).union(tag(current, 1)).groupBy("v").agg(F.count_if(F.col("k") == 0).alias("a"), F.count_if(F.col("k") == 1).alias("b"))
-    ends = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    # ranges of equal width: exact, as running sums only need ranges in order
-    parts = 1024
-    placed = values.crossJoin(F.broadcast(ends)).withColumn("p", F.coalesce(F.least(F.lit(parts - 1), F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * parts)), F.lit(0)).cast("int"))
-    before = Window.partitionBy(F.lit(0)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("p").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    totals = totals.select("p", F.coalesce(F.sum("ta").over(before), F.lit(0)).alias("a0"), F.coalesce(F.sum("tb").over(before), F.lit(0)).alias("b0"))
-    within = Window.partitionBy("p").orderBy("v")
-    gap = F.abs((F.sum("a").over(within) + F.col("a0")) / F.col("na") - (F.sum("b").over(within) + F.col("b0")) / F.col("nb"))
-    return placed.join(F.broadcast(totals), "p").withColumn("gap", gap).agg(F.max("gap").alias("statistic"), F.max("na").alias("n_baseline"), F.max("nb").alias("n_current"))
+    ends = values.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    placed = running_sums(values, "v", ["a", "b"]).crossJoin(F.broadcast(ends))
+    gap = F.abs(F.col("a_upto") / F.col("na") - F.col("b_upto") / F.col("nb"))
+    return placed.agg(F.max(gap).alias("statistic"), F.max("na").alias("n_baseline"), F.max("nb").alias("n_current"))
 
 
 def ks_p_value(d: float, n: int, m: int) -> float:

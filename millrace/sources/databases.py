@@ -176,12 +176,17 @@ class QueryBuilder:
         values = ", ".join(f"({', '.join(f':{c}_{i}' for c in columns)})" for i in range(len(rows)))
         return f"INSERT INTO {self.table} ({', '.join(columns)}) VALUES {values}", params
 
+    def _condition(self) -> str:
+        if not self._where:
+            raise ValueError("a statement that changes rows needs a condition; say TRUE for all")
+        return " AND ".join(f"({w})" for w in self._where)
+
     def update(self, values: dict[str, Any]) -> tuple[str, dict[str, Any]]:
-        text = f"UPDATE {self.table} SET {', '.join(f'{c} = :set_{c}' for c in values)}"
-        return text + (f" WHERE {' AND '.join(f'({w})' for w in self._where)}" if self._where else ""), {f"set_{c}": v for c, v in values.items()} | self.params
+        text = f"UPDATE {self.table} SET {', '.join(f'{c} = :set_{c}' for c in values)} WHERE {self._condition()}"
+        return text, {f"set_{c}": v for c, v in values.items()} | self.params
 
     def delete(self) -> tuple[str, dict[str, Any]]:
-        return f"DELETE FROM {self.table}" + (f" WHERE {' AND '.join(f'({w})' for w in self._where)}" if self._where else ""), dict(self.params)
+        return f"DELETE FROM {self.table} WHERE {self._condition()}", dict(self.params)
 
     def run(self, spark: SparkSession) -> DataFrame:
         return spark.sql(self.build(), args=self.params or None)

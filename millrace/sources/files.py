@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FORMATS = {"csv": "csv", "tsv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "parquet": "parquet", "orc": "orc", "txt": "text"}
+#: Rows of a sheet below its header.
+SHEET_ROWS = 1_048_575
 _CODECS = (".gz", ".gzip", ".bz2", ".snappy", ".zst", ".lz4", ".deflate")
 
 
@@ -76,6 +78,11 @@ class SinkResult:
     metrics: dict[str, Any] = field(default_factory=dict)
 
 
+def _hashable(df: DataFrame) -> list[str]:
+    """Columns that Spark can hash: all but maps and variants, which it can't group by either."""
+    return [f"`{f.name}`" for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+
+
 def write_file(df: DataFrame, path: str, format: str | None = None, mode: str = "overwrite", partition_by: list[str] | None = None, compression: str | None = None, max_records: int | None = None, sort_within: list[str] | None = None, **options: Any) -> SinkResult:
     """Writes in Spark's folders, ``col=value`` for partition columns.  Rows of a partition are brought
     together in parts first, so that not each task writes to each folder.  Failures are returned."""
@@ -86,7 +93,7 @@ def write_file(df: DataFrame, path: str, format: str | None = None, mode: str =
     watch = Observation()
     out = df.observe(watch, F.count(F.lit(1)).alias("rows")) if seen is None else df
     if partition_by:
-        out = out.repartition(*partition_by, (F.rand(7) * 8).cast("int"))  # a hot value is spread over eight tasks
+        out = out.repartition(*partition_by, F.pmod(F.xxhash64(*_hashable(df)), F.lit(8)))  # a hot value is spread over eight tasks, the same ones in a rerun
     if sort_within:
         out = out.sortWithinPartitions(*(partition_by or []), *sort_within)
     writer = out.write.mode(mode).format(kind).options(**options)
@@ -105,6 +112,13 @@ def write_file(df: DataFrame, path: str, format: str | None = None, mode: str =
     return SinkResult(True, watch.get["rows"] if seen is None else 0, None, {"path": path, "format": kind})
 
 
+def excel_sheets(path: str) -> list[str]:
+    """Names of a workbook's sheets.  Needs openpyxl."""
+    import pandas as pd
+
+    return pd.ExcelFile(path).sheet_names
+
+
 def read_excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
     """A sheet, read on the driver: workbooks are small.  Needs openpyxl."""
     import pandas as pd
@@ -113,6 +127,9 @@ def read_excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFram
 
 
 def write_excel(df: DataFrame, path: str, sheet: str = "Sheet1") -> SinkResult:
-    rows = df.limit(1_048_575).toPandas()
+    """Writes a workbook on the driver.  A table that a sheet can't hold isn't written in part."""
+    rows = df.limit(SHEET_ROWS + 1).toPandas()
+    if len(rows) > SHEET_ROWS:
+        return SinkResult(False, 0, f"more than {SHEET_ROWS} rows, which a sheet can't hold")
     rows.to_excel(path, sheet_name=sheet, index=False)
     return SinkResult(True, len(rows), None, {"path": path})

@@ -18,18 +18,24 @@ def _fs(spark: SparkSession, path: str):
 @dataclass
 class Store:
     """Tables as Parquet under a base path, by asset name.  A new state is written beside the old one and
-    a pointer file is changed last, so readers never see half a table and a table can be read while its
-    next state is computed from it."""
+    a pointer is renamed into place last, so readers never see half a table or none, and a table can be
+    read while its next state is computed from it.  The state before the current one stays for plans that still
+    read it; older ones are removed."""
 
     spark: SparkSession
     base: str
 
-    def _pointer(self, name: str):
-        return _fs(self.spark, f"{self.base}/{name}/CURRENT")
+    def _versions(self, name: str) -> list[str]:
+        """Versions that pointers name, oldest first: a pointer is an empty file ``CURRENT-<number>-<version>``."""
+        p, fs = _fs(self.spark, f"{self.base}/{name}")
+        if not fs.exists(p):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return sorted(n for n in names if n.startswith("CURRENT-"))
 
     def path(self, name: str) -> str | None:
-        p, fs = self._pointer(name)
-        return f"{self.base}/{name}/{self.spark.read.text(p.toString()).first()['value']}" if fs.exists(p) else None
+        found = self._versions(name)
+        return f"{self.base}/{name}/{found[-1].split('-', 2)[2]}" if found else None
 
     def exists(self, name: str) -> bool:
         return self.path(name) is not None
@@ -41,18 +47,23 @@ class Store:
         return self.spark.read.parquet(path)
 
     def replace(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        version, old = f"v-{uuid.uuid4().hex}", self.path(name)
+        version, before = f"v-{uuid.uuid4().hex}", self._versions(name)
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(f"{self.base}/{name}/{version}")
-        p, fs = self._pointer(name)
-        out = fs.create(p, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        if old:
-            q, fs = _fs(self.spark, old)
-            fs.delete(q, True)
+        number = int(before[-1].split("-")[1]) + 1 if before else 0
+        p, fs = _fs(self.spark, f"{self.base}/{name}/CURRENT-{number:012d}-{version}")
+        fs.create(p, False).close()  # its name says all, so it is there whole or not at all
+        for pointer in before[:-1]:
+            for gone in (pointer, pointer.split("-", 2)[2]):
+                q, fs = _fs(self.spark, f"{self.base}/{name}/{gone}")
+                fs.delete(q, True)
         return self.load(name)
 
+    def remove(self, name: str) -> None:
+        """Removes a table with all its versions."""
+        p, fs = _fs(self.spark, f"{self.base}/{name}")
+        fs.delete(p, True)
+
     def append(self, name: str, df: DataFrame) -> DataFrame:
         path = self.path(name)
         if path is None:
