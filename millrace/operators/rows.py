@@ -169,3 +169,13 @@ def union_all(*others: DataFrame) -> Step:
         return df
 
     return run
+
+
+def intersection(other: DataFrame) -> Step:
+    """Distinct rows that both tables have."""
+    return lambda df: df.intersect(other.select(*df.columns))
+
+
+def difference(other: DataFrame) -> Step:
+    """Distinct rows that the other table lacks."""
+    return lambda df: df.subtract(other.select(*df.columns))

@@ -6,44 +6,21 @@ depend on the order of addition.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import streaming
 from millrace.operators import aggregates as A
 from millrace.operators import cleaning, joins, reshape, rows, windows
+from millrace.plans import catalog_quality  # noqa: F401  registers further queries
 from millrace.plans import config as pipeline_config
-from millrace.plans import rules
 from millrace.plans.builder import transform
 from millrace.plans.graph import Asset, Engine, Graph
+from millrace.plans.registry import QUERIES, SQL, query, t  # noqa: F401
+from millrace.plans.registry import rounded as _r
 from millrace.plans.sql import run_sql, sql_asset
 from millrace.quality import anomaly, checks, drift, metrics
 from millrace.sources.databases import QueryBuilder, above_watermark
-from millrace.sources.files import read_file
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def wrap(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return wrap
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_file(spark, f"{sf_dir}/{name}.parquet", "parquet")
-
-
-def _r(name: str, digits: int = 4):
-    return F.round(name, digits).alias(name)
-
 
 REVENUE = "l_extendedprice * (1 - l_discount)"
 
@@ -360,13 +337,6 @@ def validate_records(spark: SparkSession, d: str) -> DataFrame:
     return out.select("o_orderkey", F.array_join("errors", ",").alias("errors"))
 
 
-@query("""SELECT 'missing' AS name, false AS passed FROM orders LIMIT 0""")
-def no_failures(spark: SparkSession, d: str) -> DataFrame:
-    """The failures of a rule set that all rows keep: none."""
-    made = rules.checks_of([{"type": "not_null", "column": "o_orderkey"}, {"type": "row_count", "min": 1}, {"type": "reference", "column": "o_custkey", "table": t(spark, d, "customer"), "target_column": "c_custkey"}])
-    return spark.createDataFrame([(r.name, r.passed) for r in checks.Suite("orders", made).run(t(spark, d, "orders")).failures], "name string, passed boolean")
-
-
 @query(f"SELECT round((1.0 + 1.0 + avg(CASE WHEN price IS NOT NULL THEN 1.0 ELSE 0.0 END)) / 3, 6) AS completeness, CAST(1 AS DOUBLE) AS p_partkey, CAST(1 AS DOUBLE) AS p_brand, round(avg(CASE WHEN price IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS price FROM {_HOLES}")
 def completeness(spark: SparkSession, d: str) -> DataFrame:
     return metrics.completeness(_holes(spark, d)).withColumns({"completeness": F.round("completeness", 6), "price": F.round("price", 6)})

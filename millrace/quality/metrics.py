@@ -115,3 +115,63 @@ def history_trend(history: DataFrame, value: str = "score", at: str = "at", flat
 
 def alerts(score: QualityScore, least: float = 80.0) -> list[str]:
     return [f"{k} is {v}" for k, v in {"overall": score.overall, **score.parts}.items() if v < least]
+
+
+def column_profile(df: DataFrame, column: str, top: int = 10) -> DataFrame:
+    """One row: total, nulls, distinct_count, unique_count (values that occur once), mode, its count, the shortest
+    and longest length (of texts), percentiles 5, 25, 50, 75 and 95 (of numbers, within a ten-thousandth of the
+    rank), and the most frequent values as sample_values.  Values are counted first, so one that is very frequent
+    is one row."""
+    kind = df.schema[column].dataType
+    x, n = F.col("v"), F.col("n")
+    counts = df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    known = x.isNotNull()
+    none = F.lit(None)
+    number, text = isinstance(kind, T.NumericType), isinstance(kind, T.StringType)
+    mode = F.max_by(F.struct("v", "n"), F.when(known, F.struct(n, F.hash("v")))) if isinstance(kind, T.BooleanType) else F.min_by(F.struct("v", "n"), F.when(known, F.struct(-n, x)))
+    out = counts.agg(
+        F.sum(n).alias("total"),
+        F.coalesce(F.sum(F.when(~known, n)), F.lit(0)).alias("null_count"),
+        F.count_if(known).alias("distinct_count"),
+        F.count_if(known & (n == 1)).alias("unique_count"),
+        mode.alias("_mode"),
+        (F.min(F.length(x)) if text else none).cast("long").alias("min_length"),
+        (F.max(F.length(x)) if text else none).cast("long").alias("max_length"),
+    )
+    some = counts.filter(known).orderBy(n.desc(), x).limit(top).agg(F.transform(F.array_sort(F.collect_list(F.struct((-n).alias("k"), x.cast("string").alias("v")))), lambda e: e["v"]).alias("sample_values"))
+    out = out.select("total", "null_count", "distinct_count", "unique_count", F.col("_mode.v").cast("string").alias("mode"), F.col("_mode.n").alias("mode_count"), "min_length", "max_length").crossJoin(F.broadcast(some))
+    shares = [0.05, 0.25, 0.5, 0.75, 0.95]
+    points = df.agg((F.percentile_approx(F.col(column).cast("double"), shares, 10_000) if number else none.cast("array<double>")).alias("percentiles"))
+    return out.crossJoin(F.broadcast(points))
+
+
+def column_quality(df: DataFrame, column: str, constraints: dict[str, Any] | None = None) -> DataFrame:
+    """One row: completeness, validity (of values that aren't null), uniqueness (values that occur once), and their
+    mean as score, each 0 to 1."""
+    from millrace.quality.checks import record_errors
+
+    ok = F.size(record_errors(df, {column: constraints or {}})) == 0
+    known = F.col(column).isNotNull()
+    one = df.agg(F.avg(known.cast("double")).alias("completeness"), F.avg(F.when(known, ok.cast("double"))).alias("validity"))
+    out = one.crossJoin(F.broadcast(once_share(df, column).select("uniqueness")))
+    return out.withColumn("score", (F.col("completeness") + F.coalesce("validity", F.lit(0.0)) + F.coalesce("uniqueness", F.lit(0.0))) / 3)
+
+
+def recommendations(score: QualityScore, least: float = 80.0) -> list[str]:
+    """What to do about the parts of a score that are low."""
+    advice = {
+        "completeness": "fill nulls, or find out where they come from",
+        "validity": "look at the rows that break constraints",
+        "uniqueness": "remove rows that repeat a key",
+        "freshness": "load newer data",
+        "consistency": "compare the columns that ought to agree",
+    }
+    return [f"{k} is {v}: {advice[k]}" for k, v in score.parts.items() if v < least]
+
+
+def required(score: QualityScore, least: dict[str, float]) -> QualityScore:
+    """The score, if all its named parts (or ``overall``) reach what is asked."""
+    low = {k: v for k, v in least.items() if (score.overall if k == "overall" else score.parts[k]) < v}
+    if low:
+        raise ValueError("; ".join(f"{k} is below {v}" for k, v in low.items()))
+    return score
