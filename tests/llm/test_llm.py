@@ -482,6 +482,78 @@ def test_links_between_saturated_groups(spark, monkeypatch):
     assert {got[i].component_id for i in range(80)} == {0} and got[101].component_id == 100
 
 
+def brute_links(x):
+    """Links of each vector, and the smallest place that links reach."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    n, pairs = np.zeros(len(x), int), []
+    for a in range(0, len(x), 1000):
+        i, j = np.nonzero(u[a : a + 1000] @ u.T >= 0.9)
+        keep = i + a != j
+        n += np.bincount(i[keep] + a, minlength=len(x))
+        pairs += zip((i[keep] + a).tolist(), j[keep].tolist(), strict=True)
+    parent = list(range(len(x)))
+
+    def find(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return n, np.array([find(k) for k in range(len(x))])
+
+
+def test_chains_and_cliques_of_many_vectors(spark):
+    """20,000 vectors: cliques larger than lists, chains of many steps, pairs, and a third in one cone without links."""
+    rng = np.random.default_rng(7)
+    d = 48
+    one = rng.normal(size=d)
+    cone = 1.1 * one / np.linalg.norm(one) + rng.normal(size=(6500, d)) / math.sqrt(d)
+    cliques = [c + 0.02 * rng.normal(size=(m, d)) for c, m in zip(rng.normal(size=(12, d)), rng.integers(5, 400, 12), strict=True)]
+    chain = [rng.normal(size=d)]
+    for _ in range(400):
+        step = rng.normal(size=d)
+        step -= (step @ chain[-1]) * chain[-1] / (chain[-1] @ chain[-1])
+        chain.append(chain[-1] + 0.4 * np.linalg.norm(chain[-1]) * step / np.linalg.norm(step))
+        chain[-1] /= np.linalg.norm(chain[-1])
+    x = np.concatenate([cone, *cliques, np.array(chain)])
+    x = np.concatenate([x, rng.normal(size=(20_000 - len(x) - 1000, d))])
+    x = np.concatenate([x, x[-1000:] + 0.2 * rng.normal(size=(1000, d))])
+    x = x[rng.permutation(len(x))].astype(np.float32).astype(float)
+    n, component = brute_links(x)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(6)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_vectors(df).collect()}
+    links = np.array([got[i][0] for i in range(len(x))])
+    assert (links <= n).all()
+    has = n > 0
+    assert (links[has] / n[has]).mean() >= 0.98 and links.sum() >= 0.98 * n.sum()
+    assert (np.array([got[i][1] for i in range(len(x))]) == component).mean() >= 0.99
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(50)] + [(100, [1.0, 2.0]), (101, [2.0, 4.0]), (102, [-1.0, 2.0]), (103, [5.0]), (104, [7.0]), (105, [-7.0]), (106, [])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in range(100, 107)] == [(1, 100), (1, 100), (0, 102), (1, 103), (1, 103), (0, 105), (0, 106)]
+
+
+def test_audit_counts_what_was_found(spark):
+    from millrace.llm.common import prepare
+
+    prepare(spark)
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(100, 8)), 3, axis=0) + 0.01 * rng.normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    units = spark.createDataFrame([(i, v.tobytes(), 1) for i, v in enumerate(x)], "id long, unit binary, copies long")
+    n, _ = brute_links(x)
+    whole = spark.createDataFrame([(i, int(k)) for i, k in enumerate(n)], "id long, links long")
+    assert neighbours.audit(units, whole, 0.9) == 1
+    assert abs(neighbours.audit(units, whole.filter("id % 40 <> 0"), 0.9) - 7 / 15) < 0.01
+    assert neighbours.audit(units.limit(0), whole, 0.9) == 1
+
+
 def test_repeated_vectors(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0])]
     got = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
