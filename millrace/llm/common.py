@@ -106,6 +106,10 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/millrace/{what}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that this driver has made and not removed, oldest first.
+MADE: list[str] = []
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back, which cuts its lineage.
 
@@ -113,6 +117,7 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
+    MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -127,6 +132,15 @@ def forget(df: DataFrame) -> None:
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
         if "/millrace/" in f:
             remove(df.sparkSession, f)
+            MADE[:] = [p for p in MADE if not f.endswith(p.rsplit("/", 1)[-1])]
+
+
+def forget_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Removes the tables made since ``MADE`` had ``mark`` entries, but for those that ``keep`` is read from."""
+    kept = {os.path.basename(os.path.dirname(x)) for x in keep.inputFiles()}
+    for path in [p for p in MADE[mark:] if p.rsplit("/", 1)[-1] not in kept]:
+        remove(spark, path)
+        MADE.remove(path)
 
 
 def hot_limit(rows: int) -> int:

@@ -54,6 +54,13 @@ def weigh(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), rank % len(weights) + 1))
 
 
+def _place(seed: str) -> Column:
+    """A row's place in the order of its source, by its id and text, so that rows without an id, or with one that
+    repeats, are dealt out like others."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary"))
+
+
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float = EPOCHS, seed: str = SEED, extra: tuple[str, ...] = ()) -> DataFrame:
     """What the mix takes of each row of ``docs`` (doc_id, text, source).
 
@@ -61,10 +68,11 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float
     of one more, partial repetition) and taken = copies * size + part_words, and columns ``extra``.
     Null texts and texts without words have size 0 and are taken as often as their source's whole
     repetitions say, at no words.  Null sources are one source.  Repeated rows count each.
-    A source's rows are dealt out by hash bucket, so that no task holds a large source.
+    Repeated rows stand beside one another in the order.  A source's rows are dealt out by hash bucket, so that
+    no task holds a large source.
     """
     cols = [F.col(c) for c in extra]
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_u"), *cols)
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _place(seed).alias("_u"), *cols)
     rows = rows.withColumn("_b", F.substring("_u", 1, HEX_DIGITS)).withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull())
     rows = materialize(rows, "mix")
     buckets = rows.groupBy("_s", "_n", "_b").agg(F.sum("size").alias("_words"))
@@ -111,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float = EPO
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS u
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS u
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source

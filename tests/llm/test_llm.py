@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import bayes, bitpack, crf, licenses, minhash, mixing, neighbours, packing, suffixes, tokens, warc
 from millrace.llm.common import materialize
@@ -825,6 +826,102 @@ def test_pipeline_stages(spark, tmp_path, texts):
     assert sorted(map(tuple, whole.select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "piece", "length", "ids_crc32").collect()))
 
 
+def _write(spark, path, rows, labels):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    _write(spark, tmp_path, [], [])
+    assert cp.run(spark, str(tmp_path)).count() == 0
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0, name
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path, texts):
+    """Nulls in any column, empty and long texts, repeated ids and rows: every stage has a row for what it keeps."""
+    import corpus_pipeline as cp
+
+    rows = [(i, t, None if k % 4 == 0 else "en", None if k % 5 == 0 else "s", None) for k, (i, t) in enumerate(texts)]
+    _write(spark, tmp_path, rows, [(0, 1, 0), (0, 1, None), (1, 1, 0), (None, 0, 1), (2, None, 0)])
+    df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    clash = df.withColumns({c: F.lit("x") for c in ("_hash", "kept", "component_id", "_row", "spans", "host", "path", "piece", "_gone", "_least", "ids")})
+    for docs in (df, clash):
+        stages = dict(cp.STAGES)
+        good = stages["quality_classifier"](spark, docs, str(tmp_path))
+        assert good.columns == docs.columns and good.count() == len(rows)  # one kind of label only: nothing is told apart
+        one = materialize(stages["minhash_near_dedup"](spark, good, str(tmp_path)), "t")
+        assert one.columns == docs.columns
+        ids = [r.doc_id for r in one.collect() if r.doc_id is not None]
+        assert len(ids) == len(set(ids)) and set(ids) == {r[0] for r in classes(texts, 5, 80) if r[3] and r[0] is not None}
+        assert one.filter("doc_id is null").count() == 2
+        again = materialize(stages["minhash_near_dedup"](spark, good.repartition(7), str(tmp_path)), "t")
+        assert sorted(map(str, one.collect())) == sorted(map(str, again.collect()))
+        cut = materialize(stages["suffix_array_dedup"](spark, one, str(tmp_path)), "t")
+        assert cut.columns == docs.columns
+        mixed = materialize(stages["source_mix"](spark, cut, str(tmp_path)), "t")
+        assert mixed.columns == docs.columns and mixed.count() > 0
+        packed = stages["best_fit_packing"](spark, mixed, str(tmp_path))
+        assert packed.select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
+
+
+def test_run_leaves_only_what_it_returns(spark, tmp_path, texts):
+    import corpus_pipeline as cp
+    from millrace.llm import common
+
+    _write(spark, tmp_path, [(i, t, "en", "s", 1) for i, t in texts if t and len(t.split()) > 50], [(0, 1, 0)])
+    mark = len(common.MADE)
+    assert cp.run(spark, str(tmp_path)).count() > 0
+    assert len(common.MADE) - mark <= 6
+
+
+def test_long_texts(spark):
+    """One text of some MB beside short ones, through every operator on texts."""
+    rng = random.Random(2)
+    words = prose(rng, 3000).split()
+    long_text = " ".join(rng.choice(words) for _ in range(300_000)) + "\n" + "line and more words here\n" * 500 + "released under the MIT License"
+    rows = [(0, long_text, "a", "en"), (1, long_text + " end", "a", "en"), (2, "short text", "a", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(2)
+    chain = crf.fit_chain([], [])
+    assert {r.doc_id: r.n_words for r in crf.line_labels(df, chain).collect()}[0] == len(long_text.split())
+    assert [r.kept for r in sorted(minhash.near_duplicates(df).collect())] == [True, False, True]
+    assert {r.doc_id: r.labels for r in licenses.scan(df).collect()}[0] == "MIT,mit"
+    assert [(r.doc_id, r.first_word) for r in suffixes.repeated_passages(df).collect()] == [(1, 0)]
+    assert bayes.classify(df, spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")).filter("kept").count() == 3
+
+
+def test_repeated_and_nameless_documents_are_dealt_out(spark):
+    """Rows without an id, or with one that repeats, don't all come to one bucket."""
+    df = spark.createDataFrame([(None if i % 2 else 7, f"w{i} " * (i % 5), "s") for i in range(400)], "doc_id long, text string, source string")
+    plan = mixing.mix_plan(df)
+    assert df.select(mixing._place("mix-1")).distinct().count() > 300 and plan.count() == 400
+    assert sum(r.taken for r in plan.collect()) == round(plan.first().target)
+
+
+def test_package_reaches_workers_from_elsewhere(tmp_path):
+    """A session started from another folder, with the package on sys.path only."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from millrace.llm import crf
+df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+print("rows", crf.line_labels(df, crf.fit_chain([], [])).count(), crf.line_labels(df, crf.fit_chain([], [])).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), env=env, capture_output=True, text=True, timeout=180)
+    assert "rows 1 1" in out.stdout, out.stderr[-2000:]
+
+
 def test_clashing_and_missing_parts(spark, docs):
     """Extra columns of any name don't disturb an operator."""
     clash = docs.withColumnsRenamed({"length": "_row", "key": "_id", "n": "print", "size": "spans", "component": "id"})
