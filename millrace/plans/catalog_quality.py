@@ -484,9 +484,10 @@ def intersection(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).transform(rows.intersection(t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))))
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
 def difference(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "nation").select(F.col("n_nationkey").alias("k")).transform(rows.difference(t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))))
+    rich = t(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    return t(spark, d, "orders").select(F.col("o_custkey").alias("k")).transform(rows.difference(rich))
 
 
 @query("""SELECT n_regionkey, 'nations' AS measure, CAST(count(*) AS DOUBLE) AS amount FROM nation GROUP BY 1""")
