@@ -207,6 +207,7 @@ def fit_chain(features: list[np.ndarray], labels: list[np.ndarray], steps: int =
     size = np.array([len(f) for f in features])
     shares = np.where(mostly, 0.5 / max(size[mostly].sum(), 1), 0.5 / max(size[~mostly].sum(), 1))
     cut = [(f[a : a + WINDOW], y[a : a + WINDOW], w) for f, y, w in zip(features, labels, shares, strict=True) for a in range(0, len(f), WINDOW)]
+    cut.sort(key=lambda c: -len(c[0]))  # the windows with more lines than t are the first ones
     lengths = np.array([len(f) for f, _, _ in cut])
     most = int(lengths.max())
     x, true = np.zeros((len(cut), most, k)), np.zeros((len(cut), most, 2))
@@ -214,6 +215,8 @@ def fit_chain(features: list[np.ndarray], labels: list[np.ndarray], steps: int =
         x[i, : len(f)] = f
         true[i, np.arange(len(f)), y] = 1
     on = np.arange(most)[None] < lengths[:, None]
+    live = on.sum(axis=0).tolist()
+    last = (np.arange(len(cut)), lengths - 1)
     weight = np.array([w for _, _, w in cut])
     w = weight[:, None, None]
     true_move = np.einsum("nta,ntb->ab", true[:, :-1] * w, true[:, 1:])
@@ -224,15 +227,16 @@ def fit_chain(features: list[np.ndarray], labels: list[np.ndarray], steps: int =
         fwd, bwd = np.zeros_like(s), np.zeros_like(s)
         fwd[:, 0] = s[:, 0]
         for t in range(1, most):
-            new = np.logaddexp.reduce(fwd[:, t - 1][:, :, None] + move[None], axis=1) + s[:, t]
-            fwd[:, t] = np.where(on[:, t][:, None], new, fwd[:, t - 1])
-        z = np.logaddexp.reduce(fwd[:, -1], axis=1)
+            n = live[t]
+            fwd[:n, t] = np.logaddexp.reduce(fwd[:n, t - 1, :, None] + move[None], axis=1) + s[:n, t]
+        z = np.logaddexp.reduce(fwd[last], axis=1)
         for t in range(most - 2, -1, -1):
-            new = np.logaddexp.reduce(move[None] + (s[:, t + 1] + bwd[:, t + 1])[:, None, :], axis=2)
-            bwd[:, t] = np.where(on[:, t + 1][:, None], new, 0)
-        prob = np.exp(fwd + bwd - z[:, None, None]) * on[:, :, None]
+            n = live[t + 1]
+            bwd[:n, t] = np.logaddexp.reduce(move[None] + (s[:n, t + 1] + bwd[:n, t + 1])[:, None, :], axis=2)
+        prob = np.exp(np.where(on[:, :, None], fwd + bwd - z[:, None, None], -np.inf))
         g_emit = np.einsum("ntk,ntc->kc", x, (true - prob) * w)
-        pair = np.exp(fwd[:, :-1, :, None] + move[None, None] + (s + bwd)[:, 1:, None, :] - z[:, None, None, None]) * (on[:, 1:, None, None] * w[..., None])
+        both = fwd[:, :-1, :, None] + move[None, None] + (s + bwd)[:, 1:, None, :] - z[:, None, None, None]
+        pair = np.exp(np.where(on[:, 1:, None, None], both, -np.inf)) * w[..., None]
         g = np.concatenate([g_emit.ravel(), (true_move - pair.sum(axis=(0, 1))).ravel()]) - l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
