@@ -112,6 +112,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str,
     """Gives each row of ``pieces`` (a ``length`` column of 1 to ``capacity``, any others) its
     sequence_id and offset.  ``order`` settles ranks among pieces of one length.
 
+    Rows carry their other columns, ids as well, to where they are ranked, once; their place needs no more moves.
     Ranks are counted within (length, part), a part being what one task wrote, plus what the parts
     before hold of the length, so that a very common length is not ranked by one task.
     """
@@ -133,9 +134,27 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str,
     return placed.withColumn("sequence_id", F.col("_seq") + F.col("_rank") - F.col("_lo")).drop("_part", "_base", "_rank", "_len", "_lo", "_ranks", "_seq")
 
 
+def packed_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """Packs (doc_id, text) and returns the pieces with their ids in their places: doc_id, piece, start,
+    length, ids (uint32, binary), sequence_id and offset.  Repeated rows are packed as often as they stand there."""
+    packed = best_fit_pack(token_pieces(docs, tokenizer, capacity), capacity, ("doc_id", "piece", "start", "ids"))
+    return packed.select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """The sequences of ``packed`` pieces (ids, length, offset, sequence_id): sequence_id, length, ids (uint32,
+    binary), and the offsets at which pieces begin.  A sequence has at most as many pieces as its capacity."""
+    rows = packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("_p"))
+    ids = F.aggregate(F.slice("_p", 2, F.lit(1 << 30)), F.element_at("_p", 1)["ids"], lambda whole, p: F.concat(whole, p["ids"]))
+    return rows.select("sequence_id", "length", ids.alias("ids"), F.col("_p.offset").alias("offsets"))
+
+
+def with_checksums(packed: DataFrame) -> DataFrame:
+    """Adds ids_crc32, taken from the ids where they have been placed."""
+    return packed.withColumn("ids_crc32", F.crc32("ids"))
+
+
 def packed_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Packs (doc_id, text) and returns, per piece, doc_id, piece, start, length, ids_crc32,
-    sequence_id and offset.  Repeated rows are packed as often as they stand there."""
-    pieces = token_pieces(docs, tokenizer, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    packed = best_fit_pack(pieces, capacity, ("doc_id", "piece", "start", "ids_crc32"))
+    """The digest of ``packed_pieces``: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
+    packed = with_checksums(packed_pieces(docs, tokenizer, capacity))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
