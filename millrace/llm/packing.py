@@ -9,6 +9,7 @@ length get which sequences and offsets; pieces find their place by their rank wi
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,8 +77,9 @@ def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return slots
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of each document of (doc_id, text): doc_id, piece, start, length, ids (uint32, binary).
+def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, narrow: bool = False) -> DataFrame:
+    """Pieces of each document of (doc_id, text): doc_id, piece, start, length, ids (binary; uint32, or, if
+    ``narrow``, uint16 where the vocabulary allows it).
 
     A null text counts as empty, and every document ends with id 0, so it has a piece at least.  Of a
     document longer than the capacity, the first piece takes what is over whole pieces.
@@ -87,10 +89,11 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(tokenizer)
+        kind = enc.dtype if narrow else np.dtype("<u4")
         for batch, encoded in enc.batches(batches, 1):
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                ids = np.append(ids, END_ID).astype("<u4")
+                ids = np.append(ids, END_ID).astype(kind)
                 start, piece = 0, 0
                 end = len(ids) % capacity or capacity
                 while start < len(ids):
@@ -134,27 +137,36 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str,
     return placed.withColumn("sequence_id", F.col("_seq") + F.col("_rank") - F.col("_lo")).drop("_part", "_base", "_rank", "_len", "_lo", "_ranks", "_seq")
 
 
+def _placed(docs: DataFrame, tokenizer: str | None, capacity: int, digest: bool) -> DataFrame:
+    """Packs (doc_id, text).  Ids move to their places as narrow as the vocabulary allows; from there, they
+    are given as uint32, or their checksums are."""
+    packed = best_fit_pack(token_pieces(docs, tokenizer, capacity, narrow=True), capacity, ("doc_id", "piece", "start", "ids"))
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes() for x, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            last = pa.array(map(zlib.crc32, wide), pa.int64()) if digest else pa.array(wide, pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], last], names=[*batch.schema.names[1:], "ids_crc32" if digest else "ids"])
+
+    rows = packed.select("ids", "length", "doc_id", "piece", "start", "sequence_id", "offset")
+    return arrow(rows, widen, "length long, doc_id long, piece int, start long, sequence_id long, offset long, " + ("ids_crc32 long" if digest else "ids binary"))
+
+
 def packed_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Packs (doc_id, text) and returns the pieces with their ids in their places: doc_id, piece, start,
     length, ids (uint32, binary), sequence_id and offset.  Repeated rows are packed as often as they stand there."""
-    packed = best_fit_pack(token_pieces(docs, tokenizer, capacity), capacity, ("doc_id", "piece", "start", "ids"))
-    return packed.select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
+    return _placed(docs, tokenizer, capacity, False).select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
+
+
+def packed_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """As ``packed_pieces``, with checksums, taken where the ids have been placed, instead of ids: doc_id,
+    piece, start, length, ids_crc32, sequence_id and offset."""
+    return _placed(docs, tokenizer, capacity, True).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """The sequences of ``packed`` pieces (ids, length, offset, sequence_id): sequence_id, length, ids (uint32,
-    binary), and the offsets at which pieces begin.  A sequence has at most as many pieces as its capacity."""
+    """The sequences of ``packed_pieces``: sequence_id, length, ids (uint32, binary), and the offsets at which
+    pieces begin.  A sequence has at most as many pieces as its capacity."""
     rows = packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("_p"))
     ids = F.aggregate(F.slice("_p", 2, F.lit(1 << 30)), F.element_at("_p", 1)["ids"], lambda whole, p: F.concat(whole, p["ids"]))
     return rows.select("sequence_id", "length", ids.alias("ids"), F.col("_p.offset").alias("offsets"))
-
-
-def with_checksums(packed: DataFrame) -> DataFrame:
-    """Adds ids_crc32, taken from the ids where they have been placed."""
-    return packed.withColumn("ids_crc32", F.crc32("ids"))
-
-
-def packed_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """The digest of ``packed_pieces``: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
-    packed = with_checksums(packed_pieces(docs, tokenizer, capacity))
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
