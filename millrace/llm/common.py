@@ -24,6 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 #: A key is hot that has more than this share of a table's rows, and more than so many.
 HOT_SHARE, HOT_ROWS = 1 / 200, 400
+#: Bits of ``likely``'s bitmap: so many a key, and so many at most (16 MB).
+KEY_BITS, MOST_BITS = 32, 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +108,8 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/millrace/{what}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark removes the shuffle files of a query when it is over.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of the tables that this driver has made and not removed, oldest first.
 MADE: list[str] = []
 
@@ -113,12 +117,19 @@ MADE: list[str] = []
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back, which cuts its lineage.
 
-    The files outlive their executors.  ``forget`` removes them.
+    The files outlive their executors.  ``forget`` removes them.  What was shuffled on the way is removed at
+    once, not when the driver happens to collect its garbage.
     """
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, what)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     MADE.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, folder: str) -> None:
@@ -154,10 +165,11 @@ def hot_keys(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
 
 
-def join_hot(rows: DataFrame, one: DataFrame, keys: list[str], limit: int, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, one: DataFrame, keys: list[str], limit: int, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """Inner or left join of ``rows`` with ``one``, which has a row a key: rows of hot keys stay where they are and meet
-    a broadcast of ``one``'s rows of these keys, of which ``limit`` (see ``hot_limit``) allows 200 at most."""
-    hot = hot_keys(rows, keys, limit).drop("_n")
+    a broadcast of ``one``'s rows of these keys, of which ``limit`` (see ``hot_limit``) allows 200 at most.  ``hot`` has
+    these keys where they are known; else they are counted."""
+    hot = hot_keys(rows, keys, limit).drop("_n") if hot is None else hot
     few = one.join(F.broadcast(hot), keys, "left_semi")
     cold = rows.join(F.broadcast(hot), keys, "left_anti").join(one, keys, how)
     warm = rows if how == "inner" else rows.join(F.broadcast(hot), keys, "left_semi")
@@ -171,6 +183,22 @@ def split_hot(rows: DataFrame, keys: list[str], by: list[str], limit: int) -> Da
     return rows.join(F.broadcast(hot), keys, "left").withColumn("_slot", F.coalesce(slot, F.lit(0)).cast("int")).drop("_n")
 
 
+def likely(rows: DataFrame, keys: list[str], wanted: DataFrame, n: int) -> DataFrame:
+    """The ``rows`` whose ``keys`` may be among those of ``wanted`` (columns of these names; ``n`` rows, about): all that
+    are, and few others.  For a join that follows, so that rows without a partner need no shuffle.
+
+    Keys are known by a bit of a bitmap, which is broadcast in pieces of 4 kB; past ``MOST_BITS`` more rows pass.
+    """
+    size = min(MOST_BITS, -(-max(n, 1) * KEY_BITS >> 15) << 15)
+    place = lambda: F.pmod(F.xxhash64(*keys), F.lit(size)) + 1
+    bits = wanted.select(place().alias("_at")).select(F.bitmap_bucket_number("_at").alias("_piece"), F.bitmap_bit_position("_at").alias("_bit")).distinct()
+    bits = bits.repartition("_piece").groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    at = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_at", place()).withColumn("_piece", F.bitmap_bucket_number("_at")).join(F.broadcast(bits), "_piece")
+    return found.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     """The groups, by the first ``keys`` columns, of rows that are sorted by them."""
     held: list[pa.RecordBatch] = []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow, hashed_words, hot_limit, join_hot, materialize, mix64, prepare, sorted_groups, split_hot
+from millrace.llm.common import arrow, hashed_words, hot_limit, join_hot, likely, materialize, mix64, prepare, sorted_groups, split_hot
 from millrace.llm.graph import connected_components
 
 SHINGLE = 5
@@ -158,11 +158,13 @@ def _spokes(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["a", "a_hash", "b", "b_hash", "linked", "n_a", "n_b", "missing", "differ"])
 
     keys = ["a", "a_hash", "_slot"]
-    pairs = materialize(split_hot(pairs, ["a", "a_hash"], ["b", "b_hash"], hot_limit(pairs.count())), "pairs")
-    text = lambda side: docs.select(F.col("doc_id").alias(side), F.col("text_hash").alias(f"{side}_hash"), "text")
-    first = pairs.select(*keys).distinct().join(text("a"), ["a", "a_hash"]).select(*keys, F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("b_hash"), F.lit(None).cast("boolean").alias("many"), "text")
-    rest = pairs.join(text("b"), ["b", "b_hash"]).select(*keys, "b", "b_hash", "many", "text")
-    wide = first.union(rest).repartition(*keys).sortWithinPartitions(*keys, F.col("b_hash").isNotNull(), "b", "b_hash")
+    n = pairs.count()
+    pairs = materialize(split_hot(pairs, ["a", "a_hash"], ["b", "b_hash"], hot_limit(n)), "pairs")
+    text = ["doc_id", "text_hash"]
+    first = pairs.select(*keys).distinct().select(*keys, F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("b_hash"), F.lit(None).cast("boolean").alias("many"), F.col("a").alias("doc_id"), F.col("a_hash").alias("text_hash"))
+    sides = first.union(pairs.select(*keys, "b", "b_hash", "many", "b", "b_hash"))
+    wide = sides.join(likely(docs, text, sides, 2 * n), text).select(*keys, "b", "b_hash", "many", "text")
+    wide = wide.repartition(*keys).sortWithinPartitions(*keys, F.col("b_hash").isNotNull(), "b", "b_hash")
     return arrow(wide, compare, "a long, a_hash long, b long, b_hash long, linked boolean, n_a long, n_b long, missing long, differ binary")
 
 
@@ -264,10 +266,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     classes = materialize(named.groupBy("print").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "keys")).alias("_first"), F.count("*").alias("_n")), "classes")
     copies = join_hot(named.select("print", "doc_id"), classes.filter("_n > 1").select("print", F.col("_first.doc_id").alias("id")), ["print"], limit).filter("doc_id <> id").select("doc_id", "id")
     banded = classes.select(F.struct(F.col("_first.doc_id").alias("id"), F.col("_first.text_hash").alias("hash"), F.col("_first.n_shingles").alias("n")).alias("node"), F.explode("_first.keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("_low"), F.count("*").alias("_n")).filter("_n > 1")
+    # most keys stand alone: only those that repeat carry their nodes along
+    repeated = materialize(banded.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key"), "repeated")
+    banded = materialize(likely(banded, ["key"], repeated, repeated.count()), "banded")
+    buckets = materialize(banded.groupBy("key").agg(F.min("node").alias("_low"), F.count("*").alias("_n")).filter("_n > 1"), "buckets")
     # members of a bucket with its smallest; the sizes alone rule some pairs out, but a pair still matters
     # where others stand in the bucket, which it may link with
-    members = join_hot(banded, buckets, ["key"], hot_limit(bands * classes.count())).filter("node <> _low")
+    limit = hot_limit(banded.count())
+    members = join_hot(banded, buckets, ["key"], limit, hot=buckets.filter(F.col("_n") > limit).select("key")).filter("node <> _low")
     fits = (F.lit(percent) * F.col("node.n") <= F.lit(100) * F.col("_low.n")) & (F.lit(percent) * F.col("_low.n") <= F.lit(100) * F.col("node.n"))
     pairs = members.groupBy(F.col("_low.id").alias("a"), F.col("_low.hash").alias("a_hash"), F.col("node.id").alias("b"), F.col("node.hash").alias("b_hash")).agg(F.max(fits).alias("_fits"), F.max(F.col("_n") > 2).alias("many"))
     pairs = materialize(pairs.filter(F.col("_fits") | F.col("many")).drop("_fits"), "members")

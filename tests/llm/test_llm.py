@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import bayes, bitpack, crf, licenses, minhash, mixing, neighbours, packing, suffixes, tokens, warc
-from millrace.llm.common import materialize
+from millrace.llm.common import CLEAN_UP, likely, materialize
 from millrace.llm.graph import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -723,6 +723,53 @@ def test_near_copies_of_a_base_at_all_distances(spark):
     assert got == classes(rows, 3, 85)
 
 
+def shuffled(spark):
+    """Bytes that the session has shuffled so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_without_a_candidate_are_not_shuffled(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(400))) for i in range(500)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(5)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string"), "t")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = sorted(map(tuple, minhash.near_duplicates(docs, 3, 0.85).collect()), key=key)
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == classes(rows, 3, 85) and sum(not r[3] for r in got) == 5
+    assert moved < 0.5 * sum(len(t) for _, t in rows)
+
+
+def test_likely(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    wanted = rows.filter("a % 10 = 3")
+    got = {r.a for r in likely(rows, ["a", "b"], wanted, 4000).collect()}
+    assert got >= {r.a for r in wanted.collect()} and len(got) < 4000 + 0.06 * 36_000
+    assert likely(rows, ["a"], rows.limit(0), 0).count() == 0 == likely(rows.limit(0), ["a"], rows, 40_000).count()
+
+
+def test_materialize_leaves_no_shuffle_files(spark):
+    import glob
+    import time
+
+    files = lambda: set(glob.glob("/tmp/blockmgr-*/**/shuffle_*", recursive=True))
+    before = files()
+    materialize(spark.range(1000).withColumn("k", F.col("id") % 9).groupBy("k").count(), "t")
+    for _ in range(50):  # executors are told and not waited for
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before
+    assert spark.conf.get(CLEAN_UP) == "false"
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     common, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (600, 200, 200))
