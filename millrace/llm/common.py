@@ -183,20 +183,26 @@ def split_hot(rows: DataFrame, keys: list[str], by: list[str], limit: int) -> Da
     return rows.join(F.broadcast(hot), keys, "left").withColumn("_slot", F.coalesce(slot, F.lit(0)).cast("int")).drop("_n")
 
 
-def likely(rows: DataFrame, keys: list[str], wanted: DataFrame, n: int) -> DataFrame:
-    """The ``rows`` whose ``keys`` may be among those of ``wanted`` (columns of these names; ``n`` rows, about): all that
-    are, and few others.  For a join that follows, so that rows without a partner need no shuffle.
+def parted(rows: DataFrame, keys: list[str], wanted: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The ``rows`` whose ``keys`` may be among those of ``wanted`` (columns of these names; ``n`` rows, about), which are
+    all that are and few others, and the rest.  For a join that follows, so that the rest needs no shuffle.
 
     Keys are known by a bit of a bitmap, which is broadcast in pieces of 4 kB; past ``MOST_BITS`` more rows pass.
     """
     size = min(MOST_BITS, -(-max(n, 1) * KEY_BITS >> 15) << 15)
     place = lambda: F.pmod(F.xxhash64(*keys), F.lit(size)) + 1
     bits = wanted.select(place().alias("_at")).select(F.bitmap_bucket_number("_at").alias("_piece"), F.bitmap_bit_position("_at").alias("_bit")).distinct()
-    bits = bits.repartition("_piece").groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    bits = F.broadcast(bits.repartition("_piece").groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
     at = F.bitmap_bit_position("_at")
     byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = rows.withColumn("_at", place()).withColumn("_piece", F.bitmap_bucket_number("_at")).join(F.broadcast(bits), "_piece")
-    return found.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+    found = rows.withColumn("_at", place()).withColumn("_piece", F.bitmap_bucket_number("_at")).join(bits, "_piece", "left")
+    may = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return tuple(found.filter(x).select(*rows.columns) for x in (may, ~may))
+
+
+def likely(rows: DataFrame, keys: list[str], wanted: DataFrame, n: int) -> DataFrame:
+    """The first part of ``parted``."""
+    return parted(rows, keys, wanted, n)[0]
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow, hashed_words, materialize, mix64, prepare
+from millrace.llm.common import arrow, forget, hashed_words, likely, materialize, mix64, parted, prepare
 
 MIN_WORDS = 50
 GRAM = 24
@@ -111,6 +111,7 @@ def with_least(rows: DataFrame, what: str) -> DataFrame:
     rows = materialize(rows, what)  # a sort by range reads its input twice
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", least long, edge boolean"
     found = materialize(arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), mark, schema), what)
+    forget(rows)
     # at most two rows a task
     edges = found.filter("edge").groupBy("hash").agg(F.min("least").alias("_all"))
     return found.filter("not edge").join(F.broadcast(edges), "hash", "left").select(*names, F.coalesce("_all", "least").alias("least"))
@@ -127,6 +128,12 @@ def _holds(words: np.ndarray, items: list[dict], min_words: int) -> list[dict]:
     return [r for r, ok in zip(items, same.tolist(), strict=True) if ok]
 
 
+def _beside(text: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
+    """The texts that have items (doc and ``columns``), with them; others stay where they are."""
+    some = likely(text, ["doc_id"], items.select(F.col("doc").alias("doc_id")), items.count())
+    return some.join(items.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct(*columns)).alias("items")), "doc_id")
+
+
 def opened(text: DataFrame, parts: DataFrame, min_words: int) -> DataFrame:
     """The windows (hash, doc, place) of segments (doc, place, count, hash)."""
 
@@ -141,8 +148,7 @@ def opened(text: DataFrame, parts: DataFrame, min_words: int) -> DataFrame:
                 sums, up = _running(words)
                 yield pa.RecordBatch.from_arrays([pa.array(run_hashes(sums, up, at, at + min_words).view(np.int64)), pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32))], names=["hash", "doc", "place"])
 
-    by_doc = parts.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("place", "count", "hash")).alias("items"))
-    return arrow(text.join(by_doc, "doc_id"), windows, "hash long, doc long, place int")
+    return arrow(_beside(text, parts, ["place", "count", "hash"]), windows, "hash long, doc long, place int")
 
 
 def _spans(text: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
@@ -160,8 +166,7 @@ def _spans(text: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
             span = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("other", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.string()), pa.array(out, span)], names=["doc_id", "text", "spans"])
 
-    by_doc = found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("place", "count", "hash", "least")).alias("items"))
-    return arrow(text.join(by_doc, "doc_id"), spans, "doc_id long, text string, spans array<struct<first_word:int,end_word:int,other:bigint>>")
+    return arrow(_beside(text, found, ["place", "count", "hash", "least"]), spans, "doc_id long, text string, spans array<struct<first_word:int,end_word:int,other:bigint>>")
 
 
 def _merge(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -197,11 +202,15 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text = docs.filter("doc_id is not null")
     whole = with_least(sampled_segments(docs, min_words), "segments")
     own = whole.filter("doc = least")
-    shared = own.groupBy("gram").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).filter("_a < _b").select("gram")
-    single = with_least(opened(text, own.join(shared, "gram", "left_semi"), min_words), "windows")
+    shared = materialize(own.groupBy("gram").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).filter("_a < _b").select("gram"), "grams")
+    parts = materialize(likely(own, ["gram"], shared, shared.count()).join(shared, "gram", "left_semi"), "parts")
+    single = with_least(opened(text, parts, min_words), "windows")
     columns = ["doc", "place", "count", "hash", "least"]
     found = whole.filter("doc > least").select(*columns).union(single.filter("doc > least").withColumn("count", F.lit(1)).select(*columns))
-    return _spans(text, found, min_words).dropDuplicates()
+    out = materialize(_spans(text, found, min_words).dropDuplicates(), "spans")
+    for done in (whole, shared, parts, single):
+        forget(done)
+    return out
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -236,8 +245,13 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
         return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
 
-    new = arrow(repeats(docs, min_words).select("doc_id", "text", "spans"), cut, "_id long, _print string, _left string")
-    same = (docs["doc_id"].cast("long") == new["_id"]) & (F.md5(docs["text"].cast("string").cast("binary")) == new["_print"])
-    rows = docs.join(new, same, "left").filter(new["_id"].isNull() | new["_left"].isNotNull())
-    one = {"text": F.coalesce(new["_left"], docs["text"])} | ({"n_chars": F.when(new["_left"].isNotNull(), F.length(new["_left"]).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])} if "n_chars" in docs.columns else {})
-    return rows.select(*(one.get(c, docs[c]).alias(c) for c in docs.columns))
+    found = repeats(docs, min_words)
+    new = materialize(arrow(found.select("doc_id", "text", "spans"), cut, "_id long, _print string, _left string"), "cut")
+    forget(found)
+    # columns may have any names, so they go in one
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    some, rest = parted(rows, ["_id"], new, new.count())
+    some = some.withColumn("_print", F.md5(F.col("_text").cast("binary"))).join(new.withColumn("_new", F.lit(True)), ["_id", "_print"], "left").filter("_new is null or _left is not null")
+    own = {c: F.col("row").getField(c) for c in docs.columns}
+    one = {"text": F.coalesce("_left", own["text"])} | ({"n_chars": F.when(F.col("_left").isNotNull(), F.length("_left").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])} if "n_chars" in docs.columns else {})
+    return some.select(*((one.get(c, own[c])).alias(c) for c in docs.columns)).union(rest.select(*(own[c].alias(c) for c in docs.columns)))

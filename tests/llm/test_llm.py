@@ -298,6 +298,23 @@ def test_cut_repeats(docs, texts):
     assert by[4].text == old[4] and by[17].text == "" and by[16].text is None
 
 
+def test_texts_without_a_repeat_are_not_shuffled(spark):
+    rng = random.Random(13)
+    word = lambda: f"{rng.getrandbits(64):x}"
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, " ".join(word() for _ in range(400)) + (f" {passage} {word()}" if i % 100 == 7 else "")) for i in range(500)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string"), "t")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = {r.doc_id: r.text for r in suffixes.cut_repeats(docs).collect()}
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: t.replace(f"{passage} ", "") if i > 7 else t for i, t in rows}
+    assert moved < 0.6 * sum(len(t) for _, t in rows)
+
+
 @pytest.mark.parametrize("parts", [1, 3, 23])
 def test_repeats_across_borders(spark, parts):
     rng = random.Random(9)
