@@ -91,17 +91,35 @@ def handle_nulls(df: DataFrame, strategy: str, fill_value: Any = None, columns:
     if strategy == "fill_backward":
         return df.withColumns({c: F.coalesce(following(c), last(c)) for c in names})
     if strategy == "interpolate":
-        out = df.withColumn("_i", F.row_number().over(w))
-        for c in _numeric(df, names):
-            at = F.when(F.col(c).isNotNull(), F.col("_i"))
-            i0, i1 = F.last(at, ignorenulls=True).over(past), F.first(at, ignorenulls=True).over(future)
-            out = out.withColumns({"_a": last(c).cast("double"), "_b": following(c).cast("double"), "_i0": i0, "_i1": i1})
-            between = F.col("_a") + (F.col("_b") - F.col("_a")) * F.try_divide(F.col("_i") - F.col("_i0"), F.col("_i1") - F.col("_i0"))
-            out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), between, F.col("_a"))).drop("_a", "_b", "_i0", "_i1")
-        return out.drop("_i")
+
+        def between(c: str) -> Column:
+            a, b = F.col(f"_past_{c}").cast("double"), F.col(f"_next_{c}").cast("double")
+            line = a + (b - a) * F.try_divide(F.col("_i") - F.col(f"_past_i_{c}"), F.col(f"_next_i_{c}") - F.col(f"_past_i_{c}"))
+            return F.coalesce(F.col(c).cast("double"), line, a)
+
+        return _beside(df, _numeric(df, names), order_by, partition_by, between)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
+def _beside(df: DataFrame, names: list[str], order_by: list[str], partition_by: list[str] | None, new: Callable[[str], Column]) -> DataFrame:
+    """Replaces columns by what ``new`` makes of ``_i``, the row's place, and of the nearest values that aren't null, ``_past_<column>``
+    and ``_next_<column>``, at ``_past_i_<column>`` and ``_next_i_<column>``; the row's own is both.
+
+    Spark goes over a frame that ends in the future again for each row, in the square of a group's rows.  So the next values are the
+    last ones of the reverse order, by places, which are the same for both where the order leaves ties.
+    """
+    w = Window.partitionBy(*(partition_by or [F.lit(0)]))
+
+    def nearest(side: str, order: list[Column]) -> dict[str, Column]:
+        seen = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        last = lambda c: F.last(c, ignorenulls=True).over(seen)
+        return {f"_{side}_{c}": last(F.col(c)) for c in names} | {f"_{side}_i_{c}": last(F.when(F.col(c).isNotNull(), F.col("_i"))) for c in names}
+
+    out = df.withColumn("_i", F.row_number().over(w.orderBy(*map(sort_key, order_by))))
+    out = out.withColumns(nearest("past", [F.col("_i")])).withColumns(nearest("next", [F.col("_i").desc()]))
+    return out.select(*(new(c).alias(c) if c in names else F.col(c) for c in df.columns))
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """One row: nulls of each column."""
     return df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns))

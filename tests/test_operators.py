@@ -159,3 +159,16 @@ def test_constant_column_has_no_score(spark):
     df = spark.createDataFrame([(1.0,), (1.0,)], "v double")
     for m in ("zscore", "minmax", "robust"):
         assert [r.v for r in cleaning.standardize_columns(df, ["v"], m).collect()] == [None, None]
+
+
+def nearest(spark, strategy):
+    rows_ = [("a", i, float(i) if i % 4 == 1 else None) for i in range(8)] + [("b", 0, None), ("b", 1, None), ("b", 2, 7.0)]
+    df = spark.createDataFrame(rows_, "g string, i int, v double")
+    out = cleaning.handle_nulls(df, strategy, columns=["v"], order_by=["i"], partition_by=["g"])
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()  # goes over the group again for each row
+    assert out.columns == df.columns
+    return [r.v for r in out.orderBy("g", "i").collect()]
+
+
+def test_interpolation_goes_over_a_group_once(spark):
+    assert nearest(spark, "interpolate") == [None, 1.0, 2.0, 3.0, 4.0, 5.0, 5.0, 5.0, None, None, 7.0]
