@@ -89,7 +89,7 @@ def handle_nulls(df: DataFrame, strategy: str, fill_value: Any = None, columns:
     if strategy == "fill_forward":
         return df.withColumns({c: F.coalesce(last(c), following(c)) for c in names})
     if strategy == "fill_backward":
-        return df.withColumns({c: F.coalesce(following(c), last(c)) for c in names})
+        return _beside(df, names, order_by, partition_by, lambda c: F.coalesce(f"_next_{c}", f"_past_{c}"))
     if strategy == "interpolate":
 
         def between(c: str) -> Column:

@@ -172,3 +172,7 @@ def nearest(spark, strategy):
 
 def test_interpolation_goes_over_a_group_once(spark):
     assert nearest(spark, "interpolate") == [None, 1.0, 2.0, 3.0, 4.0, 5.0, 5.0, 5.0, None, None, 7.0]
+
+
+def test_backward_fill_goes_over_a_group_once(spark):
+    assert nearest(spark, "fill_backward") == [1.0, 1.0, 5.0, 5.0, 5.0, 5.0, 5.0, 5.0, 7.0, 7.0, 7.0]
