@@ -83,11 +83,8 @@ def handle_nulls(df: DataFrame, strategy: str, fill_value: Any = None, columns:
         return out.select(*((F.coalesce(F.col(c).cast(kind(c)), f"_s_{c}").alias(c) if c in names else F.col(c)) for c in df.columns))
     if not order_by:
         raise ValueError(f"{strategy} needs an order")
-    w = Window.partitionBy(*(partition_by or [F.lit(0)])).orderBy(*map(sort_key, order_by))
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    last, following = (lambda c: F.last(c, ignorenulls=True).over(past)), (lambda c: F.first(c, ignorenulls=True).over(future))
     if strategy == "fill_forward":
-        return df.withColumns({c: F.coalesce(last(c), following(c)) for c in names})
+        return _beside(df, names, order_by, partition_by, lambda c: F.coalesce(f"_past_{c}", f"_next_{c}"))
     if strategy == "fill_backward":
         return _beside(df, names, order_by, partition_by, lambda c: F.coalesce(f"_next_{c}", f"_past_{c}"))
     if strategy == "interpolate":

@@ -176,3 +176,7 @@ def test_interpolation_goes_over_a_group_once(spark):
 
 def test_backward_fill_goes_over_a_group_once(spark):
     assert nearest(spark, "fill_backward") == [1.0, 1.0, 5.0, 5.0, 5.0, 5.0, 5.0, 5.0, 7.0, 7.0, 7.0]
+
+
+def test_forward_fill_goes_over_a_group_once(spark):
+    assert nearest(spark, "fill_forward") == [1.0, 1.0, 1.0, 1.0, 1.0, 5.0, 5.0, 5.0, 7.0, 7.0, 7.0]
