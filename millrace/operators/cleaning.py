@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import wraps
-from typing import Any
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.predicates import title_case
+from millrace.operators.ranges import quantiles
 from millrace.operators.rows import sort_key
 
 
@@ -28,9 +29,17 @@ def _texts(df: DataFrame, columns: list[str] | None = None) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)]
 
 
-def _with_stats(df: DataFrame, stats: dict[str, Column]) -> DataFrame:
-    """Adds aggregates over the whole table as columns; they are one row."""
-    return df.crossJoin(F.broadcast(df.agg(*(c.alias(n) for n, c in stats.items())))) if stats else df
+def _with_stats(df: DataFrame, stats: dict[str, Column | _Quantile]) -> DataFrame:
+    """Adds aggregates over the whole table as columns; they are one row, or one of aggregates and one of exact quantiles."""
+    exact = {n: c for n, c in stats.items() if isinstance(c, _Quantile)}
+    rest = [c.alias(n) for n, c in stats.items() if n not in exact]
+    out = df.crossJoin(F.broadcast(df.agg(*rest))) if rest else df
+    return out.crossJoin(F.broadcast(quantiles(df, exact))) if exact else out
+
+
+class _Quantile(NamedTuple):
+    column: str
+    share: float
 
 
 # duplicates
@@ -125,10 +134,9 @@ def null_counts(df: DataFrame) -> DataFrame:
 # outliers
 
 
-def _quantile(c: Column | str, p: float, approx: bool) -> Column:
-    """Exact (interpolated; holds a count for each distinct value in one task), or, for large tables, within
-    a ten-thousandth of the rank in bounded memory."""
-    return F.percentile_approx(F.col(c).cast("double") if isinstance(c, str) else c, p, 10_000) if approx else F.percentile(c, p)
+def _quantile(c: str, p: float, approx: bool) -> Column | _Quantile:
+    """For ``_with_stats``: exact (interpolated; see ``ranges.quantiles``), or, in one pass, within a ten-thousandth of the rank."""
+    return F.percentile_approx(F.col(c).cast("double"), p, 10_000) if approx else _Quantile(c, p)
 
 
 def _bounds(df: DataFrame, columns: list[str], method: str, threshold: float, approx: bool = False) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
@@ -145,7 +153,8 @@ def _bounds(df: DataFrame, columns: list[str], method: str, threshold: float, ap
             low_high[c] = (F.col(f"_m_{c}") - threshold * F.col(f"_d_{c}"), F.col(f"_m_{c}") + threshold * F.col(f"_d_{c}"))
     elif method == "modified_zscore":
         df = _with_stats(df, {f"_m_{c}": _quantile(c, 0.5, approx) for c in columns})
-        df = _with_stats(df, {f"_d_{c}": _quantile(F.abs(F.col(c) - F.col(f"_m_{c}")), 0.5, approx) for c in columns})
+        df = df.withColumns({f"_o_{c}": F.abs(F.col(c) - F.col(f"_m_{c}")) for c in columns})
+        df = _with_stats(df, {f"_d_{c}": _quantile(f"_o_{c}", 0.5, approx) for c in columns})
         for c in columns:
             reach = F.nullif(F.col(f"_d_{c}"), F.lit(0)) * threshold / 0.6745
             low_high[c] = (F.col(f"_m_{c}") - reach, F.col(f"_m_{c}") + reach)
@@ -184,8 +193,7 @@ def handle_outliers(df: DataFrame, method: str = "iqr", action: str = "cap", thr
         new = {c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c).cast("double"), lo)) for c, (lo, _) in bounds.items()}
     elif action in ("mean_replace", "median_replace"):
         stat = F.avg if action == "mean_replace" else lambda c: _quantile(c, 0.5, approx)
-        mean = df.agg(*(stat(c).alias(f"_r_{c}") for c in names))
-        out = out.crossJoin(F.broadcast(mean))  # one row
+        out = _with_stats(out, {f"_r_{c}": stat(c) for c in names})
         new = {c: F.when(odd[c], F.col(f"_r_{c}")).otherwise(F.col(c).cast("double")) for c in names}
     else:
         raise ValueError(f"unknown action {action!r}")
@@ -216,10 +224,11 @@ def standardize_columns(df: DataFrame, columns: list[str], method: str = "zscore
     parts = {
         "zscore": lambda c: (F.avg(c), F.stddev_samp(c)),
         "minmax": lambda c: (F.min(c).cast("double"), (F.max(c) - F.min(c)).cast("double")),
-        "robust": lambda c: (_quantile(c, 0.5, approx), _quantile(c, 0.75, approx) - _quantile(c, 0.25, approx)),
+        "robust": lambda c: (_quantile(c, 0.5, approx), _quantile(c, 0.75, approx), _quantile(c, 0.25, approx)),
     }[method]
-    out = _with_stats(df, {f"_{k}_{c}": s for c in columns for k, s in zip("ab", parts(c), strict=True)})
-    new = {c: F.try_divide(F.col(c) - F.col(f"_a_{c}"), F.col(f"_b_{c}")) for c in columns}
+    out = _with_stats(df, {f"_{k}_{c}": s for c in columns for k, s in zip("abc", parts(c))})  # noqa: B905
+    spread = lambda c: F.col(f"_b_{c}") - F.col(f"_c_{c}") if method == "robust" else F.col(f"_b_{c}")
+    new = {c: F.try_divide(F.col(c) - F.col(f"_a_{c}"), spread(c)) for c in columns}
     return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in df.columns))
 
 

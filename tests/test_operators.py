@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from millrace.functions import predicates as P
 from millrace.functions.expressions import ExpressionError
 from millrace.operators import aggregates as A
-from millrace.operators import cleaning, joins, reshape, rows, windows
+from millrace.operators import cleaning, joins, ranges, reshape, rows, windows
 
 
 def values(df):
@@ -180,3 +180,26 @@ def test_backward_fill_goes_over_a_group_once(spark):
 
 def test_forward_fill_goes_over_a_group_once(spark):
     assert nearest(spark, "fill_forward") == [1.0, 1.0, 1.0, 1.0, 1.0, 5.0, 5.0, 5.0, 7.0, 7.0, 7.0]
+
+
+def test_quantiles_are_exact_and_no_task_sees_all_values(spark):
+    n, nan = 20_001, float("nan")
+    df = spark.range(n).select(((F.col("id") * 7919 % n) / 3).alias("v"), F.when(F.col("id") % 5 != 0, (F.col("id") % 3).cast("int")).alias("few"), F.lit(None).cast("double").alias("none"), F.when(F.col("id") < 9000, nan).otherwise(F.col("id")).alias("odd"))
+    shares = [0.0, 0.0001, 0.25, 1 / 3, 0.5, 0.75, 0.9999, 1.0]
+    wanted = {f"{c}{k}": (c, p) for c in df.columns for k, p in enumerate(shares)}
+    for d in (df, df.limit(0), df.limit(1), df.limit(2), df.limit(7)):
+        d = d.localCheckpoint()
+        want = d.agg(*(F.percentile(c, p).alias(x) for x, (c, p) in wanted.items())).first()
+        got = ranges.quantiles(d, wanted).first()
+        assert [str(x) for x in got] == [str(x) for x in want]
+    plan = cleaning.handle_outliers(df, "iqr", "cap", columns=["v"])._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "percentile(" not in plan  # brings the distinct values of all tasks to one
+    near = ranges.quantiles(df, {"a": ("v", 0.25), "b": ("v", 0.5)})
+    assert near.first() == (n // 4 / 3, n // 2 / 3)
+
+
+def test_quantiles_do_not_rely_on_the_sketch(spark, monkeypatch):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    for wrong in ([-5.0, 3.0], [990.0, 2000.0], [3.0, 3.0]):
+        monkeypatch.setattr(ranges.F, "percentile_approx", lambda *_, ends=wrong: F.max(F.array(*map(F.lit, ends))))
+        assert ranges.quantiles(df, {"m": ("v", 0.5)}).first().m == 499.5
