@@ -1,6 +1,7 @@
 """Databases, compression, web clients, expectations, and the repairs of stores and statements."""
 
 import json
+import os
 import sqlite3
 import zipfile
 
@@ -210,3 +211,33 @@ def test_user_functions(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 9.0)], "k long, v double")
     assert [r.x for r in df.select(user.scalar(lambda v: v + 1, "double")("v").alias("x")).collect()] == [3.0, 5.0, 10.0]
     assert {r.k: r.m for r in df.groupBy("k").agg(user.aggregate(lambda v: v.median(), "double")("v").alias("m")).collect()} == {1: 3.0, 2: 9.0}
+
+
+def test_aggregates_of_parts(spark, monkeypatch):
+    """No call sees more than a part and a batch; groups of null keys and without values are there too."""
+    monkeypatch.setattr(user, "PART_ROWS", 1000)
+    monkeypatch.setattr(user, "PART_BYTES", 1 << 30)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        n = 20_000
+        df = spark.range(0, n, 1, 3).select(F.when(F.col("id") % 4 != 0, F.col("id") % 4).alias("k"), (F.col("id") % 2 == 0).alias("even"), F.when(F.col("id") % 4 != 1, F.col("id")).alias("v"))
+        part = lambda v: {"n": len(v), "known": v.count(), "low": v.min(), "high": v.max()}
+        args = (part, "n long, known long, low double, high double")
+        out = user.aggregate_parts(df, ["k", "even"], "v", *args, lambda s: float(s["high"].max() - s["low"].min()), "spread", "double")
+        assert out.columns == ["k", "even", "spread"]
+        assert {(r.k, r.even, r.spread) for r in out.collect()} == {(None, True, n - 4.0), (1, False, None), (2, True, n - 4.0), (3, False, n - 4.0)}
+        most = user.aggregate_parts(df.withColumn("k", F.lit("x")), "k", "v", *args, lambda s: int(s["n"].max()), "most", "long").first().most
+        rows, known = (user.aggregate_parts(df.withColumn("k", F.lit("x")), "k", "v", *args, lambda s, c=c: int(s[c].sum()), "x", "long").first().x for c in ("n", "known"))
+        assert most <= 1000 + 500 and (rows, known) == (n, n * 3 // 4)
+        assert user.aggregate_parts(df.limit(0), "k", "v", *args, lambda s: 1, "x", "long").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_query_user_aggregate_shuffles_states_only(spark):
+    from millrace.plans.catalog_quality import user_aggregate
+
+    if os.path.isdir("/root/testdata/sf0.001"):
+        plan = user_aggregate(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("MapInArrow") > plan.index("Exchange")  # written from the result to the table: parts come before the shuffle
