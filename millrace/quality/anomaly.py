@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ranges import running_sums
+from millrace.operators.ranges import quantiles, running_sums
 
 
 def zscores(df: DataFrame, column: str, threshold: float = 3.0, modified: bool = False) -> DataFrame:
@@ -13,8 +13,9 @@ def zscores(df: DataFrame, column: str, threshold: float = 3.0, modified: bool =
     of 0 counts as 1."""
     x = F.col(column).cast("double")
     if modified:
-        df = df.crossJoin(F.broadcast(df.agg(F.median(x).alias("_m"))))
-        df = df.crossJoin(F.broadcast(df.agg((1.4826 * F.median(F.abs(x - F.col("_m")))).alias("_s"))))
+        df = df.crossJoin(F.broadcast(quantiles(df, {"_m": (column, 0.5)})))
+        off = df.select(F.abs(x - F.col("_m")).alias("off"))
+        df = df.crossJoin(F.broadcast(quantiles(off, {"_s": ("off", 0.5)}).select((1.4826 * F.col("_s")).alias("_s"))))
     else:
         df = df.crossJoin(F.broadcast(df.agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))))
     spread = F.when(F.coalesce(F.col("_s"), F.lit(0.0)) == 0, 1.0).otherwise(F.col("_s"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.ranges import quantiles
+
 
 def completeness(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row: share of cells that aren't null, overall and (as ``<column>``) by column."""
@@ -78,8 +80,8 @@ def quality_score(df: DataFrame, constraints: dict[str, dict[str, Any]] | None =
 
 def profile(df: DataFrame) -> DataFrame:
     """A row a column: column_name, data_type, null_count, distinct_count, min_value, max_value (as
-    text), mean, median, std_dev.  All statistics but the distinct counts share one pass; numbers are
-    exact, so medians cost memory for their distinct values."""
+    text), mean, median, std_dev.  All statistics but medians (exact, see ``ranges.quantiles``) and distinct
+    counts share one pass."""
     numbers = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
     aggs: list[Column] = []
     plain = lambda c: not isinstance(df.schema[c].dataType, T.ArrayType | T.MapType | T.StructType)
@@ -95,11 +97,15 @@ def profile(df: DataFrame) -> DataFrame:
                 (F.min(x) if plain(c) else none).cast("string").alias("min_value"),
                 (F.max(x) if plain(c) else none).cast("string").alias("max_value"),
                 (F.avg(x) if number else none).cast("double").alias("mean"),
-                (F.median(x) if number else none).cast("double").alias("median"),
+                none.cast("double").alias("median"),
                 (F.stddev_samp(x) if number else none).cast("double").alias("std_dev"),
             ).alias(f"_{len(aggs)}")
         )
-    one = df.agg(*aggs).select(F.explode(F.array(*(F.col(f"_{i}") for i in range(len(aggs))))).alias("p")).select("p.*")
+    row = df.agg(*aggs)
+    if numbers:
+        row = row.crossJoin(F.broadcast(quantiles(df, {f"_m{i}": (f"`{c}`", 0.5) for i, c in enumerate(df.columns) if c in numbers})))
+    columns = (F.col(f"_{i}").withField("median", F.col(f"_m{i}")) if c in numbers else F.col(f"_{i}") for i, c in enumerate(df.columns))
+    one = row.select(F.explode(F.array(*columns)).alias("p")).select("p.*")
     # distinct values of all columns in one shuffle: (column, value), first apart, then counted
     cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.to_json(F.struct(F.col(f"`{c}`").alias("v"))).alias("v")) for c in df.columns if plain(c)))).alias("x")).select("x.*").filter("v <> '{}'")
     distinct = cells.distinct().groupBy("column_name").agg(F.count("*").alias("distinct_count"))

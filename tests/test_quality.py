@@ -90,3 +90,15 @@ def test_rules(df):
     assert "FAILED" in rules.report_text(rules.merge_results([got]))
     with pytest.raises(ValueError):
         rules.checks_of([{"type": "unknown"}])
+
+
+def test_medians_without_one_task_that_sees_all_values(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None), (4, 10.0)], "i int, `v.x` double")
+    p = metrics.profile(df)
+    assert {r.column_name: r.median for r in p.collect()} == {"i": 2.5, "v.x": 2.0}
+    z = anomaly.zscores(df, "i", 3.5, True)
+    assert [round(r.score, 4) for r in z.orderBy("i").collect()] == [1.0117, 0.3372, 0.3372, 1.0117]
+    for d in (p, z):
+        plan = d._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "median(" not in plan and "percentile(" not in plan
+    assert not C.median_between("i", 1, 4).aggregates
